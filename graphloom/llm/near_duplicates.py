@@ -5,10 +5,9 @@
     class's smallest id goes on, so copies cost one aggregation.
 2.  Documents that share a band are candidates. Each is compared with the least document of its bucket: a number of
     pairs linear in the bucket. Links are confirmed on the full sets.
-3.  Buckets whose documents now lie in one component need no more. For the documents of the others the
-    remaining candidates are found by an exact prefix filter: with shingles in one order that puts common ones
-    last, two sets that are similar enough share one of their first `n - ceil(t * n) + 1`. Pairs inside one component
-    are skipped. Small buckets give pairs; crowded ones are compared in blocks, which return links alone.
+3.  Buckets whose documents now lie in one component need no more. The documents of the others are compared in
+    blocks of bounded size, as 0/1 matrices over their full sets; pairs inside one component do not count, and a
+    comparison of two blocks returns links alone.
 4.  Connected components by large-star and small-star steps, in tables on the shared folder.
 
 The bands are chosen so that a pair at the threshold is missed with a probability below one in a million.
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
@@ -30,10 +29,8 @@ from graphloom.llm.shingles import band_keys, fast_similarity_sketch, set_key, s
 
 #: A pair at the threshold may fail to share a band with at most this probability.
 MISS = 1e-6
-#: Bins of the table that orders shingles by how common they are, and documents it is estimated from. Both only change the speed.
-ORDER_BINS, ORDER_SAMPLE = 1 << 18, 2000
-#: Buckets of up to this many documents give pairs; larger ones are compared in blocks of about so many documents.
-PAIRS_UP_TO, BLOCK = 24, 256
+#: About how many documents and shingles a block holds at most. Groups of more blocks than the third number are taken bucket by bucket.
+BLOCK_DOCS, BLOCK_SHINGLES, GROUP_BLOCKS = 1024, 500_000, 16
 
 
 def bands_for(percent: int, miss: float = MISS) -> tuple[int, int]:
@@ -72,7 +69,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = scratch.table(_confirm(shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), sets, percent))
     found = scratch.table(connected_components(first, scratch))
     rest = _crowded(shared, found, sets, scratch)
-    more = scratch.table(_prefix_links(rest, sets, first, percent, scratch))
+    more = scratch.table(_rest_links(rest, shared, sets, percent, scratch))
     if not more.isEmpty():
         scratch.drop(found)
         found = scratch.table(connected_components(first.unionByName(more), scratch))
@@ -131,75 +128,25 @@ def _crowded(shared: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scra
     return scratch.table(placed.join(mixed, "key", "left_semi").select("id", "component").distinct())
 
 
-def _commonness(spark: SparkSession, sets: DataFrame, n: int) -> np.ndarray:
-    """How many shingles of a bounded sample of sets fall into each bin. Any table gives right results."""
+def _rest_links(rest: DataFrame, shared: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The links between documents of `rest` that lie in different components, by comparing blocks with blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ORDER_BINS, dtype=np.int32)
-        for batch in batches:
-            for hashes in batch.column(0):
-                counts += np.bincount(_bins(hashes.values.to_numpy(zero_copy_only=False)), minlength=ORDER_BINS).astype(np.int32)
-        hit = np.flatnonzero(counts)
-        for at in range(0, len(hit), 1 << 16):
-            some = hit[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["bin", "n"])
-
-    share = min(1.0, ORDER_SAMPLE / max(n, 1))
-    picked = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("hashes")
-    table = picked.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # ORDER_BINS rows at most
-    out = np.zeros(ORDER_BINS, dtype=np.int32)
-    out[table["bin"].to_numpy(dtype=np.int64)] = np.minimum(table["n"].to_numpy(dtype=np.int64), 1 << 30)
-    return out
-
-
-def _bins(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - 18)).astype(np.intp)
-
-
-def _prefix_links(rest: DataFrame, sets: DataFrame, tested: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The links between documents of `rest` that lie in different components."""
-    spark = rest.sparkSession
-    n = rest.count()
-    if not n:
-        return tested.limit(0)
-    held = scratch.table(rest.join(sets, "id"))
-    counts = _commonness(spark, held, n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, value in enumerate(batch.column(2)):
-                hashes = value.values.to_numpy(zero_copy_only=False)
-                size = len(hashes)
-                take = size - (size * percent + 99) // 100 + 1
-                order = np.lexsort((hashes, counts[_bins(hashes)]))[:take]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[order]), *(pa.array(np.full(take, x, dtype=np.int64)) for x in (ids[i], components[i], size)), pa.array(np.arange(take, dtype=np.int64))], ["token", "id", "component", "n", "at"])
-
-    prefixes = scratch.table(held.select("id", "component", "hashes").mapInArrow(run, "token long, id long, component long, n long, at long"))
-    tokens = scratch.table(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "members"))
-    small = prefixes.join(tokens.where(F.col("members") <= PAIRS_UP_TO), "token")
-    a, b = (small.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "at"))) for s in "ab")
-    # the overlap can be no more than what follows the first shared shingle in either set
-    bound = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = _confirm(pairs, sets, percent)
-    large = tokens.where(F.col("members") > PAIRS_UP_TO)
-    return links.unionByName(_block_links(prefixes, large, held, percent)).distinct()
-
-
-def _block_links(prefixes: DataFrame, large: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links inside crowded buckets: blocks of documents against blocks, each block pair a group of bounded size.
-
-    A bucket of m documents is dealt to k = ceil(m / BLOCK) blocks; a document is sent to the k block pairs that
-    need it. A group multiplies two 0/1 matrices over the shingles that both sides hold, in slices, and returns the
-    pairs that are links, never all pairs.
+    The documents fall into groups that buckets connect; a group holds every pair that shares a bucket. It is dealt to
+    k blocks of bounded size, and each document is sent to the k block pairs that need it. A group of more than
+    GROUP_BLOCKS blocks is taken bucket by bucket instead. A block pair returns the links alone, never all pairs.
     """
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    placed = prefixes.join(large, "token").select("token", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    sent = placed.select("token", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sent = sent.select("token", "id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    rows = sent.join(held, "id").select("token", "x", "y", "block", "id", "component", "hashes")
+    stars = shared.join(rest.select("id"), "id", "left_semi").where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    groups = connected_components(stars, scratch).select("id", F.col("component").alias("group"))
+    held = scratch.table(rest.join(sets, "id").join(groups, "id"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")
+    sized = scratch.table(held.groupBy("group").agg(blocks))
+    one = held.select("id", "n", "group").join(sized.where(F.col("blocks") <= GROUP_BLOCKS), "group").select("id", "n", F.lit(0).alias("kind"), F.col("group").alias("key"), "blocks")
+    many = held.join(sized.where(F.col("blocks") > GROUP_BLOCKS), "group", "left_semi").select("id").join(shared.select("id", "key", "n"), "id")
+    many = many.join(many.groupBy("key").agg(blocks), "key").select("id", "n", F.lit(1).alias("kind"), "key", "blocks")
+    placed = one.unionByName(many).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sent = placed.select("kind", "key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("kind", "key", "id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = sent.join(held.select("id", "component", "hashes"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -238,4 +185,4 @@ def _block_links(prefixes: DataFrame, large: DataFrame, held: DataFrame, percent
         found = list(run(iter(table.to_batches())))
         return pa.Table.from_batches(found) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
-    return rows.groupBy("token", "x", "y").applyInArrow(grouped, "a long, b long")
+    return rows.groupBy("kind", "key", "x", "y").applyInArrow(grouped, "a long, b long").distinct()
