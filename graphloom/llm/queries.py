@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.near_duplicates import near_duplicates
+from graphloom.llm.packing import pack_documents
+from graphloom.llm.token_counts import token_counts
 from graphloom.session import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_best_two_fit_packing": op5_best_two_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
