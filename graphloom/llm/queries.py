@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.language_id import language_id
+from graphloom.llm.media import media_column, media_features
+from graphloom.llm.mixing import mix_plan
 from graphloom.llm.near_duplicates import near_duplicates
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.token_counts import token_counts
@@ -25,6 +27,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(media_column(table(spark, sf_dir, "documents")))
+
+
 def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
 
@@ -34,12 +40,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), labels)
 
 
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_media_columns": op4_media_columns,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op8_pareto_mixing": op8_pareto_mixing,
 }
 
 ORACLES: dict[str, str] = {}
