@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,48 +26,44 @@ from graphloom.llm.scratch import Scratch, small_batches
 
 #: Parts into which the documents of one length are dealt while they are ranked; a length may hold a third of all rows.
 SALTS = 256
-#: Encoded words that a worker keeps at most. Only the speed depends on it.
-KEPT_WORDS = 400_000
 #: The pattern that splits text before the merges of the byte-level vocabulary (fixed).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class WordEncoder:
-    """Token ids of whole texts as bytes (little-endian unsigned 32-bit), by a byte-level BPE tokenizer file.
+def _byte_of_character() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 bytes are themselves, others follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    Merges never cross the words that the pattern cuts, so each distinct word is encoded by the library once.
-    Strings of special tokens inside a text become those tokens, as the library does by default.
-    """
 
-    def __init__(self, file: str):
-        self.library = tokenizers.Tokenizer.from_file(file)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+class IdEncoder:
+    """Token ids of whole texts by a byte-level BPE tokenizer file, in whose vocabulary a token's id is its rank.
 
-        self.kept: dict[str, bytes] = {}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.plain = regex.compile(WORDS)
+    The file is read by its own library; the merges are done by a faster one over the same ranks and the same pattern,
+    which gives the same ids. Strings of special tokens inside a text become those tokens, as the library does by default.
+    """
 
-    def encode(self, text: str) -> bytes:
+    def __init__(self, file: str):
+        library = tokenizers.Tokenizer.from_file(file)
+        self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        place = _byte_of_character()
+        ranks = {bytes(place[c] for c in token): i for token, i in library.get_vocab().items() if token not in self.special}
+        self.merge = tiktoken.Encoding(file, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def encode(self, text: str) -> list[int]:
         if self.split is None or not self.split.search(text):
-            return self._plain(text)
-        return b"".join(self._one(x) if i % 2 else self._plain(x) for i, x in enumerate(self.split.split(text)))
-
-    def _plain(self, text: str) -> bytes:
-        kept, one = self.kept, self._one
-        return b"".join([kept.get(word) or one(word) for word in self.plain.findall(text)])
-
-    def _one(self, word: str) -> bytes:
-        ids = np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        if len(word) <= 64:
-            self.kept[word] = ids
-        return ids
+            return self.merge(text)
+        out = []
+        for i, part in enumerate(self.split.split(text)):
+            out += [self.special[part]] if i % 2 else self.merge(part)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(file: str) -> WordEncoder:
-    return WordEncoder(file)
+def encoder(file: str) -> IdEncoder:
+    return IdEncoder(file)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end: int = 0) -> DataFrame:
@@ -79,15 +76,13 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end: int
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, last = encoder(tokenizer_file), np.array([end], dtype="<u4").tobytes()
+        ids_of = encoder(tokenizer_file)
         for texts in batches:
             out = []
             for text in texts:
-                ids = words.encode(text or "") + last
-                n = len(ids) // 4
-                bounds = [0, *range(n % size or size, n + 1, size)]
-                view = memoryview(ids)
-                out.append([{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(view[4 * a : 4 * b])} for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
+                ids = np.array([*ids_of.encode(text or ""), end], dtype="<u4")
+                bounds = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
+                out.append([{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b])} for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
             yield pd.Series(out)
 
     return docs.select("doc_id", F.explode(pieces("text")).alias("p")).select("doc_id", "p.*")
