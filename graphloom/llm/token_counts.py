@@ -11,6 +11,7 @@ none is encoded again.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +38,6 @@ class PrefixCounter:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.bytes_for_unknown = any(sp.is_byte(i) for i in range(n))
-        self.longest = max(map(len, self.score))
         if any(_MARK in piece.lstrip(_MARK) for piece in self.score):
             raise ValueError(f"{model_file}: a piece goes on after a white-space mark; its texts have no segments")
         joined = {c for piece in self.score if len(piece) > 1 for c in piece}
@@ -46,6 +46,14 @@ class PrefixCounter:
         self.known: dict[str, int] = {}
         self.tables: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.spines: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        self.pairs = {piece[i : i + 2] for piece in self.score for i in range(len(piece) - 1)}
+        self.trie: dict = {}
+        for piece in self.score:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         dummy = sp.encode("a", out_type=str)[0]
         self.prefix = _MARK if dummy.startswith(_MARK) else ""
 
@@ -66,15 +74,52 @@ class PrefixCounter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def spine(self, piece: str, right: bool) -> list[tuple[str, float]]:
+        """The parts that stand at the piece's right (or left) end while it is merged, shortest first, each with the score of the merge that ends it."""
+        key = (piece, right)
+        found = self.spines.get(key)
+        if found is None:
+            parts, found, before = list(piece), [], math.inf
+            end = -1 if right else 0
+            found.append((parts[end], -math.inf))
+            while len(parts) > 1:
+                best, at = max((self.score.get(parts[i] + parts[i + 1], -math.inf), -i) for i in range(len(parts) - 1))
+                if best == -math.inf or best > before:
+                    break
+                before = best
+                parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
+                if parts[end] != found[-1][0]:
+                    found[-1] = (found[-1][0], best)
+                    found.append((parts[end], -math.inf))
+            if len(parts) > 1:
+                found = []  # not a piece that the merges give, or one whose merges do not come in the order of their scores
+            self.spines[key] = found
+        return found
+
+    def _fits(self, last: str, piece: str) -> bool:
+        if not last:
+            return self.merged(piece) == [piece]
+        left, right = self.spine(last, True), self.spine(piece, False)
+        if not left or not right:
+            return last + piece not in self.score and self.merged(last + piece) == [last, piece]
+        i = j = 0
+        while True:  # the two ends as they change, in the order of the merges; of equal scores the left merge comes first
+            (x, ends_x), (y, ends_y) = left[i], right[j]
+            across = self.score.get(x + y)
+            if across is not None and across > ends_x and across >= ends_y:
+                return False
+            if ends_x == -math.inf and ends_y == -math.inf:
+                return True
+            if ends_x >= ends_y:
+                i += 1
+            else:
+                j += 1
+
     def follows(self, last: str, piece: str) -> bool:
         """Whether the two stay as they are when their text is tokenized; last may be empty."""
-        key = (last, piece)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > KEPT:
-                self.fits.clear()
-            joined = last + piece
-            found = self.fits[key] = not (last and joined in self.score) and self.merged(joined) == ([last, piece] if last else [piece])
+        if len(self.fits) > KEPT:
+            self.fits.clear()
+        found = self.fits[(last, piece)] = self._fits(last, piece)
         return found
 
     def segment(self, text: str) -> tuple[int, ...]:
@@ -89,19 +134,42 @@ class PrefixCounter:
         return table
 
     def _segment(self, text: str) -> tuple[int, ...]:
-        counts, lasts = [0], [""]
-        score, follows, longest = self.score, self.follows, self.longest
-        for i in range(1, len(text) + 1):
-            for start in range(max(0, i - longest), i):
-                piece = text[start:i]
-                if (piece in score or start == i - 1) and follows(lasts[start], piece):
-                    counts.append(counts[start] + (1 if piece in score else self.cost(piece)))
-                    lasts.append(piece)
+        n = len(text)
+        counts, lasts, ends = [0] * (n + 1), [""] * (n + 1), [[] for _ in range(n + 1)]
+        fits, root = self.fits, self.trie
+        for i in range(n + 1):
+            for start, piece, cost in ends[i]:  # longest first
+                last = lasts[start]
+                fit = fits.get((last, piece))
+                if fit or fit is None and self.follows(last, piece):
+                    counts[i], lasts[i] = counts[start] + cost, piece
                     break
-            else:
-                raise AssertionError(f"no tokenization of {text[:i]!r}")
+            if i < n:
+                node = root.get(text[i])
+                if node is None or "" not in node:
+                    ends[i + 1].append((i, text[i], self.cost(text[i])))
+                j = i + 1
+                while node is not None:
+                    if "" in node:
+                        ends[j].append((i, node[""], 1))
+                    node = node.get(text[j]) if j < n else None
+                    j += 1
         return tuple(counts[1:])
 
+    def _total(self, text: str) -> int:
+        """Tokens of one segment. It falls apart where no piece has the two neighbouring characters."""
+        pairs, known, total, at = self.pairs, self.known, 0, 0
+        for i in range(1, len(text) + 1):
+            if i == len(text) or text[i - 1 : i + 1] not in pairs:
+                part = text[at:i]
+                n = known.get(part)
+                if n is None:
+                    n = self._segment(part)[-1]
+                    if len(part) <= 64 and len(part) < len(text):
+                        known[part] = n
+                total, at = total + n, i
+        return total
+
     def _parts(self, text: str) -> list[str]:
         return self.segments.findall(self.prefix + text.replace(" ", _MARK)) if text else []
 
@@ -113,8 +181,8 @@ class PrefixCounter:
             if n is None:
                 if len(known) > KEPT:
                     known.clear()
-                n = self._segment(part)[-1]
-                if len(part) <= 256:
+                n = self._total(part)
+                if len(part) <= 64:
                     known[part] = n
             total += n
         return total
