@@ -84,12 +84,17 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
 def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: int = 2, preference: str | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as the plan takes it, with the columns of docs."""
     plan = mix_plan(docs, weights, share, most, preference).where("copies > 0")
-    plan = plan.select(F.struct("doc_id", "text_hash", "source_key", "nth").alias("of"), "copies")
+    name = F.xxhash64("doc_id", "text_hash", "source_key")
+    plan = plan.select(name.alias("at"), *(F.col(c).alias(f"of_{c}") for c in ("doc_id", "text_hash", "source_key", "nth")), "copies")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keys = docs.select(row, F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _source_key().alias("source_key"))
-    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source_key").orderBy("text_hash")))
-    keys = keys.select("row", F.struct("doc_id", "text_hash", "source_key", "nth").alias("at"))
-    found = keys.join(plan, F.col("at").eqNullSafe(F.col("of")))
+    rows = docs.select(row, F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _source_key().alias("source_key"))
+    rows = rows.withColumn("at", name).repartition("at")  # texts are dealt out once, for the numbers and for the join
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("at", "doc_id", "text_hash", "source_key").orderBy("text_hash")))
+    apart = F.concat_ws("|", F.col("nth") - F.col("of_nth"), F.col("text_hash").bitwiseXOR(F.col("of_text_hash")))
+    same = (apart == "0|0") & (F.col("source_key") <= F.col("of_source_key")) & (F.col("source_key") >= F.col("of_source_key"))
+    one, other = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "of_doc_id"))
+    same &= (one <= other) & (one >= other)  # no further keys of the join, which would deal the texts out again
+    found = rows.join(plan, "at").where(same)
     return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
