@@ -25,6 +25,8 @@ from graphloom.llm.scratch import small_batches
 
 #: The payload is padded to a positive multiple of this many bytes: nine blocks, one row of the picture.
 UNIT, PAD = 576, 255
+#: About how many bytes of files are decoded together.
+TOGETHER = 4_000_000
 _ROW = UNIT // 64
 _MOST_ROWS = 65535 // 8
 #: Zigzag position -> row * 8 + column (fixed by the format).
@@ -290,13 +292,13 @@ def store_text(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def media_facts(files: pd.Series, together: int = 4_000_000) -> pd.DataFrame:
-    """Facts of stored files, from their bytes alone; about `together` bytes are decoded at once."""
+def media_facts(files: pd.Series) -> pd.DataFrame:
+    """Facts of stored files, from their bytes alone."""
     out, group, size = [], [], 0
     for i, data in enumerate(files):
         group.append(data)
         size += len(data)
-        if size < together and i + 1 < len(files):
+        if size < TOGETHER and i + 1 < len(files):
             continue
         for data, picture in zip(group, decode(group), strict=True):
             payload = read_payload(picture)
