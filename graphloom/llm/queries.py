@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import oracles
 from graphloom.llm.language_id import language_id
 from graphloom.llm.media import media_column, media_features
 from graphloom.llm.mixing import mix_plan
@@ -95,4 +96,9 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op7_warc_salvage": oracles.WARC,
+    "op8_pareto_mixing": oracles.MIXING,
+    "op9_url_filters": oracles.URL_FILTERS,
+}
