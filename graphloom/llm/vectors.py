@@ -28,7 +28,7 @@ FIT_ROWS, CALIBRATION_QUERIES = 20_000, 200
 #: Children of a node, vectors of a leaf aimed at, leaves at most (the tree is broadcast).
 BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 200, 4096
 #: Vectors and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 
 
 @dataclass
@@ -101,9 +101,13 @@ def fit_tree(sample: np.ndarray, rows: int, seed: int = 3) -> Tree:
             open_.append((len(centres), members[near == i]))
             centres.append(c[i])
             children.append([])
-    leaf = np.full(len(centres), -1, dtype=np.int64)
-    ends = [i for i, below in enumerate(children) if not below]
-    leaf[ends] = np.arange(len(ends))
+    leaf, walk, n = np.full(len(centres), -1, dtype=np.int64), [0], 0
+    while walk:  # leaves are numbered from left to right, so that neighbours in number are neighbours in the tree
+        node = walk.pop()
+        if children[node]:
+            walk += children[node][::-1]
+        else:
+            leaf[node], n = n, n + 1
     return Tree(np.array(centres), children, leaf)
 
 
@@ -125,33 +129,75 @@ def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _compare(leaf_rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """(query_id, rep, score): the k + 1 best classes for each ask(query_id, leaf, q) in each block of its leaf; leaf_rows(leaf, rep, v).
+def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each leaf, blocks of each group): neighbouring leaves together up to BLOCK_ROWS rows; a larger leaf is a group of several blocks."""
+    group, blocks, held = np.zeros(len(counts), dtype=np.int64), [0], 0
+    for leaf, n in enumerate(counts):
+        if held and held + n > BLOCK_ROWS:
+            blocks.append(0)
+            held = 0
+        group[leaf] = len(blocks) - 1
+        held += int(n)
+        blocks[-1] = max(1, -(-held // BLOCK_ROWS))
+    return group, np.array(blocks)
 
-    Leaves are dealt to blocks by their own counts, and asks to blocks of queries; every group is of bounded size.
+
+def _compare(placed: DataFrame, asks: DataFrame, tree: Tree, visits: int, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, rep, score): each query's k + 1 best classes in each block of a group of leaves of which it visits some.
+
+    placed(rep, v, leaf) and asks(query_id, q). Groups, blocks of a large group and blocks of queries are of bounded size. A block
+    holds the rows of all its leaves and looks, for each query, at those of the leaves that the query visits.
     """
-    sizes = leaf_rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nv"))
-    wanted = asks.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("nq"))
-    blocks = sizes.join(wanted, "leaf")
-    v = leaf_rows.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("rep"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), F.col("rep").alias("id"), F.col("v").alias("x"), F.lit(False).alias("ask"))
-    q = asks.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("bq"), F.col("query_id").alias("id"), F.col("q").alias("x"), F.lit(True).alias("ask"))
+    counts = np.zeros(tree.leaves, dtype=np.int64)
+    for leaf, n in placed.groupBy("leaf").count().collect():  # MOST_LEAVES rows or little more
+        counts[leaf] = n
+    group, blocks = _blocks(counts)
+    shared = placed.sparkSession.sparkContext.broadcast((tree, group))
+
+    @F.pandas_udf("array<struct<grp: long, leaves: array<int>>>")
+    def groups_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree, group = shared.value
+        for queries in batches:
+            out = []
+            for q in queries:
+                held: dict[int, list[int]] = {}
+                for leaf in tree.visits(np.asarray(q), visits):
+                    held.setdefault(int(group[leaf]), []).append(leaf)
+                out.append([{"grp": g, "leaves": leaves} for g, leaves in held.items()])
+            yield pd.Series(out, dtype=object)
+
+    where = placed.sparkSession.createDataFrame([(leaf, int(g), int(blocks[g])) for leaf, g in enumerate(group)], "leaf int, grp long, nv int")
+    q = scratch.table(asks.select("query_id", "q", F.explode(groups_of("q")).alias("g")).select("query_id", "q", "g.*"))
+    asked = q.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("nq"))
+    sizes = scratch.table(where.select("grp", "nv").distinct().join(asked, "grp"))
+    v = placed.join(where.select("leaf", "grp"), "leaf").join(sizes, "grp").select("grp", F.pmod(F.xxhash64("rep"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), F.col("rep").alias("id"), F.col("v").alias("x"), F.array(F.col("leaf").cast("int")).alias("leaves"), F.lit(False).alias("ask"))
+    q = q.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("bq"), F.col("query_id").alias("id"), F.col("q").alias("x"), "leaves", F.lit(True).alias("ask"))
 
     def run(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy()
         ids, x = table.column("id").to_numpy(), _stack(table.column("x"))
-        order = np.argsort(ids[~ask], kind="stable")
-        reps, vectors = ids[~ask][order], x[~ask][order]
-        out = []
-        if len(reps) and ask.any():
-            queries = x[ask]
-            for query_id, query, places in zip(ids[ask], queries, _best(queries @ vectors.T, reps, k + 8), strict=True):
-                scores = _exact(vectors[places], query)
-                top = np.lexsort((reps[places], -scores))[: k + 1]
-                out.append((np.full(len(top), query_id), reps[places][top], scores[top]))
-        a, b, c = (np.concatenate(z) if out else np.empty(0) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        lists = table.column("leaves").combine_chunks()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if ask.any() and not ask.all():
+            rows = np.flatnonzero(~ask)[np.argsort(ids[~ask], kind="stable")]
+            reps, vectors = ids[rows], x[rows]
+            leaf = lists.take(pa.array(rows)).flatten().to_numpy()
+            low = int(leaf.min())
+            open_ = np.zeros(int(leaf.max()) - low + 1, dtype=bool)
+            for i in np.flatnonzero(ask):
+                wanted = np.array(lists[int(i)].as_py()) - low
+                open_[:] = False
+                open_[wanted[(wanted >= 0) & (wanted < len(open_))]] = True
+                here = np.flatnonzero(open_[leaf - low])
+                if len(here):
+                    places = here[_best((vectors[here] @ x[i])[None, :], reps[here], k + 8)[0]]
+                    scores = _exact(vectors[places], x[i])
+                    top = np.lexsort((reps[places], -scores))[: k + 1]
+                    found.append((np.full(len(top), ids[i]), reps[places][top], scores[top]))
+        a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
         return pa.table({"query_id": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    return v.unionByName(q).groupBy("leaf", "bv", "bq").applyInArrow(run, "query_id long, rep long, score double")
+    return v.unionByName(q).groupBy("grp", "bv", "bq").applyInArrow(run, "query_id long, rep long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -196,13 +242,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
     placed = scratch.table(classes.select("rep", "v", leaf_of("v").alias("leaf")))
     visits = _calibrate(placed, asks, tree, part, k, recall)
 
-    @F.pandas_udf("array<int>")
-    def leaves_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for queries in batches:
-            yield pd.Series([shared.value.visits(np.asarray(q), visits) for q in queries], dtype=object)
-
-    sent = asks.select("query_id", "q", F.explode(leaves_of("q")).alias("leaf"))
-    best = scratch.table(_top(_compare(placed, sent, k), k + 1).select("query_id", "rep", "score"))
+    best = scratch.table(_top(_compare(placed, asks, tree, visits, k, scratch), k + 1).select("query_id", "rep", "score"))
     for frame in (best, classes):
         scratch.keep(frame)
     scratch.close()
