@@ -22,7 +22,7 @@ from graphloom.llm.sampling import bounded_sample
 from graphloom.llm.scratch import small_batches
 
 #: Hashed n-gram features; bytes of a text that are counted at once; labelled rows a model is fitted on at most.
-FEATURES, PIECE, FIT_ROWS = 1 << 13, 1 << 20, 2400
+FEATURES, PIECE, FIT_ROWS = 1 << 13, 1 << 20, 1500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.int64)
@@ -117,8 +117,9 @@ def fit_language_model(labelled: DataFrame, most: int = FIT_ROWS) -> LanguageMod
     codes = codewords(len(languages))
     if not codes.shape[1] or not len(found):
         return LanguageModel(languages, codes[:, :0], np.zeros((FEATURES + 1, 0), np.float32), np.zeros(0))
-    x = np.stack([np.frombuffer(f, dtype=np.float16) for f in found["features"]]).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    x = np.ones((len(found), FEATURES + 1), dtype=np.float32)
+    for i, f in enumerate(found.pop("features")):
+        x[i, :-1] = np.frombuffer(f, dtype=np.float16)
     y = codes[[languages.index(v) for v in found["lang"]]].astype(np.float32)
     check = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), dtype=bool)
     trust = np.ones(y.shape[1])

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import bounded_sample
-from graphloom.llm.scratch import small_batches
+from graphloom.llm.scratch import Scratch, small_batches
 
 #: Labelled rows a model is fitted on at most; rows of that sample that must hold a word of the vocabulary; standard
 #: deviations by which the word's share of rows of a higher grade must differ from that of grade 0.
@@ -90,20 +89,19 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, weight: np.n
     return params[:features], raw[0] + np.concatenate(([0], np.cumsum(soft(raw[1:]))))
 
 
-def telling_words(held: pd.Series, higher: np.ndarray) -> list[str]:
-    """The words whose shares in the rows of higher and of lowest grade differ by more than chance would have it."""
-    seen, among = Counter(w for x in held for w in x), Counter(w for x in held[higher] for w in x)
-    n, n1 = len(held), int(higher.sum())
-    n0 = n - n1
-    if not n0 or not n1:
+def telling_words(held: DataFrame) -> list[str]:
+    """The words whose shares in the rows of higher and of lowest grade differ by more than chance would have it; held(grade, words)."""
+    sums = held.groupBy("grade").count().collect()  # one row for each grade
+    n = sum(r["count"] for r in sums)
+    lowest = min((r["grade"] for r in sums), default=0)
+    n1 = sum(r["count"] for r in sums if r["grade"] > lowest)
+    if not n1 or n1 == n:
         return []
-
-    def z(word: str) -> float:
-        a, b = among[word] / n1, (seen[word] - among[word]) / n0
-        share = seen[word] / n
-        return abs(a - b) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-
-    return sorted(w for w, k in seen.items() if k >= LEAST_ROWS and z(w) >= LEAST_Z)
+    counts = held.select((F.col("grade") > lowest).cast("int").alias("high"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.sum("high").alias("k1")).where(F.col("k") >= LEAST_ROWS)
+    share = F.col("k") / F.lit(n)
+    apart = F.abs(F.col("k1") / F.lit(n1) - (F.col("k") - F.col("k1")) / F.lit(n - n1))
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / n1 + 1 / (n - n1)))
+    return sorted(r["word"] for r in counts.where(apart / spread >= LEAST_Z).select("word").collect())
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> SeverityModel:
@@ -124,13 +122,24 @@ def fit_severity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Se
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))], ["doc_id", "grade", "words"])
 
+    scratch = Scratch(docs.sparkSession, "severity")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")  # the sample is bounded by `most`
-    found = joined.mapInArrow(hold, "doc_id long, grade int, words array<string>").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    found = found[~found["words"].map(tuple).duplicated()].reset_index(drop=True)  # copies teach nothing new
-    vocabulary = {w: i for i, w in enumerate(telling_words(found["words"], found["grade"].to_numpy() > found["grade"].min()))}
-    rows = [np.array([vocabulary[w] for w in held if w in vocabulary], dtype=np.int64) for held in found["words"]]
+    held = joined.mapInArrow(hold, "doc_id long, grade int, words array<string>")
+    one = F.min_by(F.struct("doc_id", "grade", "words"), F.col("doc_id")).alias("one")
+    held = scratch.table(held.groupBy(F.xxhash64("words").alias("key")).agg(one).select("one.*"))  # copies teach nothing new
+    vocabulary = {w: i for i, w in enumerate(telling_words(held))}
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [[vocabulary[w] for w in row.as_py() if w in vocabulary] for row in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "grade", "words"])
+
+    found = held.mapInArrow(known, "doc_id long, grade int, words array<int>").toPandas().sort_values("doc_id", ignore_index=True)  # about `most` rows
+    scratch.close()
+    if not len(found):
+        return SeverityModel({}, [40.0])
+    rows = [np.asarray(ids, dtype=np.int64) for ids in found["words"]]
     levels = {g: i for i, g in enumerate(sorted(found["grade"].unique()))}
     if len(levels) < 2:
         return SeverityModel({}, [40.0])
