@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,3 +18,19 @@ def workers_find_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; one made here where it is unset (local tests)."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.folder", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("graphloom.folder", folder)
+    return folder.rstrip("/")
+
+
+def held(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read again: its plan is cut there, and a lost executor loses nothing."""
+    path = f"{shared_folder(frame.sparkSession)}/held-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
