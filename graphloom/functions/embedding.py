@@ -67,11 +67,12 @@ def embed(text: Column, embedder: Embedder) -> Column:
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            there = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if there.any():
-                out[there] = list(np.asarray(embedder.encode(texts[there].tolist()), dtype=float))
-            yield out
+            there = [i for i, text in enumerate(texts) if text is not None]
+            out: list = [None] * len(texts)
+            if there:
+                for i, v in zip(there, embedder.encode([texts.iloc[i] for i in there]), strict=True):
+                    out[i] = np.asarray(v, dtype=float)
+            yield pd.Series(out, dtype=object)
 
     return run(text)
 

@@ -16,6 +16,18 @@ from graphloom.functions.vectors import TINY, cosine, literal, norm
 BROADCAST_BYTES, BLOCK = 64_000_000, 1024
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def _matrix(rows: list) -> np.ndarray:
+    return np.array(rows, dtype=float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+
+
+def _units(rows: list) -> np.ndarray:
+    x = _matrix(rows)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def similar_nodes(nodes: DataFrame, vector: Sequence[float], threshold: float = 0.0, k: int = 10) -> DataFrame:
     """The k nodes most similar to the vector, at least `threshold`; ties in insertion order. Null and zero vectors are left out."""
     v = literal(vector)
@@ -43,7 +55,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
     schema = f"{left_id} {dict(left.dtypes)[left_id]}, {right_id} {dict(right.dtypes)[right_id]}, similarity double"
 
     def matched(a: pa.Table, ids: np.ndarray, unit: np.ndarray) -> pa.Table:
-        x = np.array(a.column("v").to_pylist(), dtype=float).reshape(a.num_rows, -1)
+        x = _matrix(a.column("v").to_pylist())
         i, j, s = [], [], []
         own = np.linalg.norm(x, axis=1)
         for at in range(0, len(ids), BLOCK):
@@ -57,12 +69,11 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
         first = a.column(left_id).take(pa.array(i.astype(np.int64)))
         return pa.table({left_id: first, right_id: pa.array(ids[j.astype(int)].tolist(), type=right_type), "similarity": pa.array(s, pa.float64())})
 
-    right_type = pa.string() if dict(right.dtypes)[right_id] == "string" else pa.int64()
+    right_type = _ARROW[dict(right.dtypes)[right_id]]
     if held[0] * held[1] * 8 <= BROADCAST_BYTES:
         rows = right.toPandas()  # proven small
         ids = rows[right_id].to_numpy()
-        unit = np.array(rows["v"].tolist(), dtype=float).reshape(len(rows), -1)
-        shared = left.sparkSession.sparkContext.broadcast((ids, unit / np.linalg.norm(unit, axis=1, keepdims=True)))
+        shared = left.sparkSession.sparkContext.broadcast((ids, _units(rows["v"].tolist())))
 
         def stream(batches):
             for batch in batches:
@@ -78,8 +89,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
     def meet(table: pa.Table) -> pa.Table:
         own = table.filter(table.column(left_id).is_valid())
         other = table.filter(table.column(right_id).is_valid())
-        unit = np.array(other.column("v").to_pylist(), dtype=float).reshape(other.num_rows, -1)
-        return matched(own, np.array(other.column(right_id).to_pylist()), unit / np.linalg.norm(unit, axis=1, keepdims=True))
+        return matched(own, np.array(other.column(right_id).to_pylist()), _units(other.column("v").to_pylist()))
 
     return a.unionByName(b).groupBy("_a", "_b").applyInArrow(meet, schema)
 
