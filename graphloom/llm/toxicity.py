@@ -1,8 +1,8 @@
 """Toxicity as ordered severity grades: a cumulative-link (proportional odds) regression over sparse word features.
 
 P(grade > k) = logistic(w.x - t_k) with thresholds t_0 < t_1 < ...; the weights are shared by all thresholds. x has a 1
-for each word of the vocabulary that the whole text holds. The output is the expected grade and each text's most
-likely grade; a text is toxic if P(grade > 0) is at least one half.
+for each word, or beginning of one, of the vocabulary that the whole text holds. The output is the expected grade and each text's most
+likely grade; a text is toxic if P(grade > 0) reaches TOXIC_FROM.
 """
 
 from __future__ import annotations
@@ -21,15 +21,20 @@ from pyspark.sql import functions as F
 from graphloom.llm.sampling import bounded_sample
 from graphloom.llm.scratch import Scratch, small_batches
 
-#: Labelled rows a model is fitted on at most; rows of that sample that must hold a word of the vocabulary; standard
-#: deviations by which the word's share of rows of a higher grade must differ from that of grade 0.
-FIT_ROWS, LEAST_ROWS, LEAST_Z = 6000, 5, 4.5
+#: Labelled rows a model is fitted on at most; rows of that sample that must hold a word of the vocabulary; the
+#: chance that any word gets into it that tells nothing.
+FIT_ROWS, LEAST_ROWS, CHANCE = 6000, 5, 0.3
+#: Lengths of the beginnings of words that are features too, and the probability of a grade above 0 from which a text is toxic.
+BEGINNINGS, TOXIC_FROM = (4, 5, 6), 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> set[str]:
-    """The distinct words (runs of letters, lower-cased) of the whole text."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The features of the whole text: its distinct words (runs of letters, lower-cased), and the beginnings of the longer ones, so that inflected forms share what they have in common."""
+    if not text:
+        return set()
+    found = set(_WORD.findall(text.lower()))
+    return found.union(*({f"{w[:n]}-" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
 @dataclass
@@ -46,7 +51,7 @@ class SeverityModel:
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds]
 
 
-def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, features: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, features: int, steps: int = 400, rate: float = 0.1, decay: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) for sparse 0/1 rows (arrays of feature numbers) with grades 0..K-1, by Adam on all rows.
 
     Thresholds are a first one plus positive steps, so that they stay ordered. The slope is that of the weighted log-likelihood
@@ -90,7 +95,10 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, weight: np.n
 
 
 def telling_words(held: DataFrame) -> list[str]:
-    """The words whose shares in the rows of higher and of lowest grade differ by more than chance would have it; held(grade, words)."""
+    """The words that rows of higher grades hold so much more or less often than the lowest that chance would hardly pick one; held(grade, words).
+
+    A word's log-likelihood ratio bounds the logarithm of its probability by chance (Chernoff); it is held against the number of words tried.
+    """
     sums = held.groupBy("grade").count().collect()  # one row for each grade
     n = sum(r["count"] for r in sums)
     lowest = min((r["grade"] for r in sums), default=0)
@@ -98,10 +106,10 @@ def telling_words(held: DataFrame) -> list[str]:
     if not n1 or n1 == n:
         return []
     counts = held.select((F.col("grade") > lowest).cast("int").alias("high"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.sum("high").alias("k1")).where(F.col("k") >= LEAST_ROWS)
-    share = F.col("k") / F.lit(n)
-    apart = F.abs(F.col("k1") / F.lit(n1) - (F.col("k") - F.col("k1")) / F.lit(n - n1))
-    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / n1 + 1 / (n - n1)))
-    return sorted(r["word"] for r in counts.where(apart / spread >= LEAST_Z).select("word").collect())
+    total = counts.count()
+    part = lambda k, share: F.when(k > 0, k * F.ln(k / (F.col("k") * F.lit(share)))).otherwise(0.0)
+    ratio = part(F.col("k1"), n1 / n) + part(F.col("k") - F.col("k1"), 1 - n1 / n)
+    return sorted(r["word"] for r in counts.where(ratio >= math.log(max(total, 1) / CHANCE)).select("word").collect())
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> SeverityModel:
@@ -172,7 +180,7 @@ def severity(docs: DataFrame, model: SeverityModel, column: str = "severity") ->
             for text in texts:
                 over = [1.0, *known.above(text), 0.0]
                 likely = max(range(len(over) - 1), key=lambda k: over[k] - over[k + 1])
-                out.append((likely, math.fsum(over[1:]), over[1], over[1] >= 0.5))
+                out.append((likely, math.fsum(over[1:]), over[1], over[1] >= TOXIC_FROM))
             yield pd.DataFrame(out, columns=["grade", "expected_severity", "p_toxic", "toxic"])
 
     return docs.withColumn(column, predict("text"))
