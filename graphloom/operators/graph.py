@@ -135,13 +135,14 @@ def with_effective_weight(edges: DataFrame, deltas: DataFrame | None = None) ->
 
 
 def summary(graph: Graph, deltas: DataFrame | None = None) -> DataFrame:
-    """One row: nodes, edges, protected nodes, edges with an active change."""
-    active = F.lit(0).cast("long") if deltas is None else None
-    out = graph.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("protected").alias("protected")).crossJoin(graph.edges.agg(F.count(F.lit(1)).alias("edges")))
-    if active is not None:
-        return out.select("nodes", "edges", "protected", active.alias("sem_active"))
-    changed = graph.edges.join(deltas.select("src", "dst").distinct(), ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("sem_active"))
-    return out.crossJoin(changed).select("nodes", "edges", "protected", "sem_active")
+    """One row: nodes, edges, protected nodes, edges with an active change. Partial counts of three tables meet in one aggregation."""
+    none = F.lit(0).cast("long")
+    parts = graph.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("protected").alias("protected")).select("nodes", none.alias("edges"), "protected", none.alias("sem_active"))
+    parts = parts.unionByName(graph.edges.agg(F.count(F.lit(1)).alias("edges")).select(none.alias("nodes"), "edges", none.alias("protected"), none.alias("sem_active")))
+    if deltas is not None:
+        changed = graph.edges.join(deltas.select("src", "dst").distinct(), ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("sem_active"))
+        parts = parts.unionByName(changed.select(none.alias("nodes"), none.alias("edges"), none.alias("protected"), "sem_active"))
+    return parts.agg(*(F.sum(c).alias(c) for c in ("nodes", "edges", "protected", "sem_active")))
 
 
 def betweenness(graph: Graph, as_distance: str = "weight", tasks: int = 8) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,12 +14,13 @@ from graphloom.functions.vectors import cosine, doubles, refine
 from graphloom.operators import ensemble, lifecycle, traversal, whatif
 from graphloom.operators import graph as g
 from graphloom.operators.chunking import chunk_documents, long_enough, quality, sectionise
-from graphloom.operators.extraction import concept_edges, concept_nodes, phrases
+from graphloom.operators.extraction import concept_edges, concept_nodes, heading_edges, metadata_nodes, phrases
 from graphloom.operators.similarity import anchors, similar_nodes, similarity_join, window_edges
 from graphloom.plans.ingest import simple_rows, simple_sentences
-from graphloom.plans.narration import path_lines
-from graphloom.session import table
+from graphloom.plans.narration import path_lines, path_records, prompts
+from graphloom.session import held, shared_folder, table
 from graphloom.sources.documents import html_facts
+from graphloom.sources.library import load_library, save_library
 from graphloom.streaming.watch import debounce, micros
 
 #: The driver's vectors are hardly similar (cosines up to about .5), so thresholds are lower here than the defaults.
@@ -560,3 +563,71 @@ def similarity_join_blocks(spark, d):
     left = vector_graph(spark, d).nodes.select("node_id", F.col("embedding").alias("v"))
     right = patterns(spark, d).select(F.col("node_id").alias("pattern_id"), F.col("pattern_embedding").alias("v"))
     return similarity_join(left, right, 0.2, "node_id", "pattern_id").select("node_id", "pattern_id", r6("similarity").alias("similarity"))
+
+
+# ---- metadata, persistence, sessions -----------------------------------------------------------------------------------------
+
+_PAGE_DOCS = "docs AS (SELECT page_id::VARCHAR AS doc_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading FROM pages)"
+
+
+def _page_documents(spark, d) -> DataFrame:
+    """Pages as documents of one section, by their raw title and first heading."""
+    head = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    section = F.struct(head.alias("heading"), F.lit("body").alias("body"), F.lit(1).alias("level"), F.lit(0).alias("page"))
+    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("").alias("author"), F.array(section).alias("sections"))
+
+
+_STRIPPED = "regexp_replace({0}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+
+
+@query(f"WITH {_PAGE_DOCS} SELECT doc_id, 'title' AS role, {_STRIPPED.format('title')} AS label FROM docs WHERE {_STRIPPED.format('title')} <> '' UNION ALL SELECT doc_id, 'heading', {_STRIPPED.format('heading')} FROM docs WHERE {_STRIPPED.format('heading')} <> ''")
+def metadata_labels(spark, d):
+    return metadata_nodes(_page_documents(spark, d)).select("doc_id", "role", "label")
+
+
+@query(f"WITH {_PAGE_DOCS} SELECT doc_id, 'c' || doc_id AS src, 'constitutive' AS edge_type, 0.8::DOUBLE AS base_weight FROM docs WHERE {_STRIPPED.format('heading')} <> ''")
+def heading_anchor_edges(spark, d):
+    docs = _page_documents(spark, d)
+    content = docs.select(F.col("path").alias("doc_id"), F.concat(F.lit("c"), "path").alias("node_id"), F.concat(F.lit(" \t"), F.col("sections")[0]["heading"]).alias("heading"))
+    edges = heading_edges(content, metadata_nodes(docs))
+    weight = F.coalesce("base_weight", g.type_weight(F.col("edge_type")))
+    return edges.select("doc_id", "src", "edge_type", weight.alias("base_weight"))
+
+
+@query(f"WITH {GRAPH} SELECT 'p' || query_id AS node_id, len(c)::INT AS size, round(c[1], 6) AS first, (query_id + 1)::INT AS session_count FROM centroids")
+def library_roundtrip(spark, d):
+    """Patterns saved to the library's file and loaded again."""
+    p = label_centroids(spark, d).select(F.concat(F.lit("p"), "query_id").alias("node_id"), F.col("vector").alias("pattern_embedding"), (F.col("query_id") + 1).cast("int").alias("session_count"), F.lit(0.5).alias("diversity_score"), F.lit(True).alias("is_generalised"), F.lit("infrastructure").alias("attention_mode"), F.lit(0).alias("reactivation_count"))
+    empty = lifecycle.empty_library(spark)
+    path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    save_library(lifecycle.Library(p, empty.observations, empty.distributions), path, "2024-01-01T00:00:00+00:00")
+    return load_library(spark, path).structural.select("node_id", F.size("pattern_embedding").alias("size"), r6(F.element_at("pattern_embedding", 1)).alias("first"), "session_count")
+
+
+@query("SELECT count(DISTINCT event_type) AS observation_nodes_evaluated, 0::BIGINT AS nodes_promoted, 0::BIGINT AS nodes_still_in_observation, count(DISTINCT event_type) AS stale_nodes_pruned FROM events")
+def post_session_stale(spark, d):
+    """A session after which every observation has been active too long, and none has two sessions to be judged by."""
+    observations = _observations(spark, d).withColumn("sessions_active", F.lit(19))
+    empty = lifecycle.empty_library(spark)
+    degrees = g.degree_distribution(vector_graph(spark, d))
+    return lifecycle.post_session(lifecycle.Library(empty.structural, observations, empty.distributions), degrees)[1]
+
+
+@query(f"WITH {GRAPH}, {_ANCHORED}, {query_ctes()} SELECT query_id, rank::INT AS rank, array_to_string(path, '>') AS path, round(conductivity, 6) AS conductivity FROM best")
+def query_path_records(spark, d):
+    out = path_records(traversal.query_paths(vector_graph(spark, d), label_centroids(spark, d)))
+    return out.select("query_id", "rank", F.array_join("path", ">").alias("path"), "conductivity")
+
+
+@query()
+def query_prompts(spark, d):
+    lines = path_lines(traversal.query_paths(vector_graph(spark, d), label_centroids(spark, d)))
+    questions = label_centroids(spark, d).select("query_id", F.concat(F.lit("what is topic "), F.col("query_id"), F.lit("?")).alias("query"))
+    return prompts(questions, held(lines))
+
+
+@query(f"WITH {GRAPH}, {_ANCHORED} SELECT DISTINCT node_id FROM (SELECT node_id FROM a UNION ALL SELECT dst FROM edges JOIN a ON a.node_id = src UNION ALL SELECT src FROM edges JOIN a ON a.node_id = dst)")
+def protected_by_queries(spark, d):
+    graph = vector_graph(spark, d)
+    return traversal.protected_by(graph, anchors(graph.nodes, label_centroids(spark, d)))
+
