@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import Config
+from graphloom.functions.vectors import TINY
 from graphloom.operators.graph import Graph, neighbours, with_effective_weight
 from graphloom.operators.similarity import anchors
 from graphloom.session import held
 
 
+#: A graph of up to so many hops and so many bytes of vectors is sent to the queries; beyond it queries and hops meet by joins.
+LOCAL_HOPS, LOCAL_BYTES = 500_000, 64_000_000
+
 
 def _no_nodes():
     return F.array().cast("array<string>")
@@ -74,9 +83,73 @@ def query_paths(graph: Graph, queries: DataFrame, config: Config = Config(), del
     """(query_id, rank, node_ids, labels, conductivity, hop_scores, length) for queries(query_id, vector): the best paths from their anchors.
 
     Anchors are searched in order of similarity; the nodes of paths found from one (but for each path's first) are closed
-    to the later ones. Many queries run together.
+    to the later ones. Many queries run together. Where the graph has been measured to be small (a session's is, by its cap) it is broadcast and
+    each task answers its share of the queries, with no shuffle; a larger graph is searched by joins, all queries in step.
     """
     scores = held(hop_scores(graph, deltas))
+    nodes = graph.nodes.where("embedding IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if scores.count() <= LOCAL_HOPS and nodes[0] * nodes[1] * 8 <= LOCAL_BYTES:
+        return _paths_by_query(graph, queries, scores, config)
+    return _paths_by_joins(graph, queries, scores, config)
+
+
+def _paths_by_query(graph: Graph, queries: DataFrame, scores: DataFrame, config: Config) -> DataFrame:
+    rows = graph.nodes.select("node_id", "label", "embedding", "ord").orderBy("ord").toPandas()  # measured to be small
+    seen = rows[rows["embedding"].notna()]
+    vectors = np.array(seen["embedding"].tolist(), dtype=float).reshape(len(seen), -1) if len(seen) else np.zeros((0, 0))
+    lengths = np.linalg.norm(vectors, axis=1)
+    ids = seen["node_id"].to_numpy()[lengths >= TINY]
+    hops: dict[str, list[tuple[str, float]]] = {}
+    for src, dst, score in scores.where("score > 0").orderBy("src", "ord").select("src", "dst", "score").toPandas().itertuples(index=False):
+        hops.setdefault(src, []).append((dst, score))
+    keep = lengths >= TINY
+    shared = graph.nodes.sparkSession.sparkContext.broadcast((ids, vectors[keep] / lengths[keep, None], hops, dict(zip(rows["node_id"], rows["label"], strict=True))))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, unit, hops, labels = shared.value
+        for batch in batches:
+            out = []
+            for query_id, vector in zip(batch["query_id"], batch["vector"], strict=True):
+                for rank, (path, scored, value) in enumerate(_best_paths(vector, ids, unit, hops, config), 1):
+                    out.append((query_id, rank, path, [labels.get(i) for i in path], value, scored, len(path)))
+            yield pd.DataFrame(out, columns=["query_id", "rank", "node_ids", "labels", "conductivity", "hop_scores", "length"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    return queries.select("query_id", "vector").mapInPandas(answer, f"query_id {kind}, rank int, node_ids array<string>, labels array<string>, conductivity double, hop_scores array<double>, length int")
+
+
+def _best_paths(vector, ids: np.ndarray, unit: np.ndarray, hops: dict, config: Config) -> list[tuple[list[str], list[float], float]]:
+    """One query's paths, best first, over the graph in memory."""
+    x = None if vector is None else np.asarray(vector, dtype=float)
+    if x is None or not len(ids) or np.linalg.norm(x) < TINY:
+        return []
+    likeness = unit @ (x / np.linalg.norm(x))
+    starts = [i for i in np.argsort(-likeness, kind="stable")[: config.top_k_anchors] if likeness[i] >= 0]
+    found: dict[tuple[str, ...], tuple[list[str], list[float], float]] = {}
+    closed: set[str] = set()
+    for i in starts:
+        for path, scored, value in _beam(ids[i], hops, closed, config):
+            found.setdefault(tuple(path), (path, scored, value))
+        closed.update(node for path, _, _ in found.values() for node in path[1:])
+    return sorted(found.values(), key=lambda p: -p[2])[: config.top_k_paths]
+
+
+def _beam(start: str, hops: dict, closed: set[str], config: Config) -> list[tuple[list[str], list[float], float]]:
+    live, ended = [(0.0, [start], [])], []
+    for depth in range(1, config.max_path_depth + 1):
+        longer = []
+        for logs, path, scored in live:
+            on = [(logs + math.log(s), [*path, node], [*scored, s]) for node, s in hops.get(path[-1], ()) if node not in closed and node not in path]
+            if on:
+                longer += on
+            elif scored:
+                ended.append((logs, path, scored))
+        live = sorted(longer, key=lambda p: -p[0] / depth)[: config.beam_width]
+    best = [(path, scored, math.exp(logs / len(scored))) for logs, path, scored in ended + live]
+    return sorted(best, key=lambda p: -p[2])[: config.top_k_paths]
+
+
+def _paths_by_joins(graph: Graph, queries: DataFrame, scores: DataFrame, config: Config) -> DataFrame:
     picked = held(anchors(graph.nodes, queries, config.top_k_anchors))
     found, visited = None, None
     for place in range(1, config.top_k_anchors + 1):

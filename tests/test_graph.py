@@ -211,3 +211,19 @@ def test_window_edges_look_ahead(spark):
     found = {(r.src, r.dst) for r in window_edges(v, 0.99).collect()}
     assert found == {(f"s{i}", f"s{j}") for i in range(8) for j in range(8) if 2 <= j - i <= 5 and (j - i) % 2 == 0}
     assert v.where(F.lit(False)).count() == 0
+
+
+def test_small_and_large_graphs_give_the_same_paths(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import traversal
+
+    rnd = random.Random(9)
+    nodes = [node(str(i), f"n{i}", rnd.choice([0.5, 0.7, 0.9]), embedding=[rnd.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [node("40", "none"), node("41", "zero", embedding=[0.0] * 4)]
+    pairs = rnd.sample([(a, b) for a in range(30) for b in range(30) if a != b], 120)
+    out = graph(spark, nodes, [edge(str(a), str(b), rnd.choice(["causal", "semantic", "sequential"]), None, i + 1) for i, (a, b) in enumerate(pairs)])
+    queries = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(12)] + [(99, None), (98, [0.0] * 4)], "query_id int, vector array<double>")
+    rows = lambda: sorted((r.query_id, r.rank, r.labels, round(r.conductivity, 9), r.length, [round(h, 9) for h in r.hop_scores]) for r in query_paths(out, queries, Config(beam_width=3)).collect())
+    small = rows()
+    monkeypatch.setattr(traversal, "LOCAL_HOPS", 0)
+    assert rows() == small and len(small) > 30
