@@ -17,7 +17,7 @@ from graphloom.operators.chunking import chunk_documents, long_enough, quality,
 from graphloom.operators.extraction import concept_edges, concept_nodes, heading_edges, metadata_nodes, phrases
 from graphloom.operators.similarity import anchors, similar_nodes, similarity_join, window_edges
 from graphloom.plans.ingest import simple_rows, simple_sentences
-from graphloom.plans.narration import path_lines, path_records, prompts
+from graphloom.plans.narration import CHAT, TASK, path_lines, path_records, prompts
 from graphloom.session import held, shared_folder, table
 from graphloom.sources.documents import html_facts
 from graphloom.sources.library import load_library, save_library
@@ -619,7 +619,11 @@ def query_path_records(spark, d):
     return out.select("query_id", "rank", F.array_join("path", ">").alias("path"), "conductivity")
 
 
-@query()
+_LINES = "string_agg('Path ' || rank || ' (confidence ' || printf('%.2f', conductivity) || ', ' || (len(path) - 1) || ' hop' || CASE WHEN len(path) = 2 THEN '' ELSE 's' END || '): ' || array_to_string(path, ' → '), chr(10) ORDER BY rank)"
+_PROMPT = (CHAT[""].format("Question: what is topic {q}?\n\nReasoning paths:\n{lines}\n\n" + TASK)).replace("'", "''")
+
+
+@query(f"WITH {GRAPH}, {_ANCHORED}, {query_ctes()}, l AS (SELECT query_id, {_LINES} AS lines FROM best GROUP BY query_id) SELECT query_id, replace(replace('{_PROMPT}', '{{q}}', query_id::VARCHAR), '{{lines}}', lines) AS prompt FROM l")
 def query_prompts(spark, d):
     lines = path_lines(traversal.query_paths(vector_graph(spark, d), label_centroids(spark, d)))
     questions = label_centroids(spark, d).select("query_id", F.concat(F.lit("what is topic "), F.col("query_id"), F.lit("?")).alias("query"))

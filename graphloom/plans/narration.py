@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.texts import path_line
 
-_TASK = "Explain what these paths show about the question. Name the strongest one with its confidence, and add nothing that is not in them."
+TASK = "Explain what these paths show about the question. Name the strongest one with its confidence, and add nothing that is not in them."
 # The marks of two chat formats; a model is told by its file's name.
 CHAT = {"phi": "<|user|>\n{0}\n<|end|>\n<|assistant|>\n", "": "<|im_start|>user\n{0}\n<|im_end|>\n<|im_start|>assistant\n"}
 
@@ -30,7 +30,7 @@ def prompts(queries: DataFrame, lines: DataFrame, model: str = "") -> DataFrame:
     """(query_id, prompt) of queries(query_id, query)."""
     form = CHAT["phi" if "phi" in model.lower() else ""]
     head, tail = form.split("{0}")
-    text = F.concat(F.lit(head), F.lit("Question: "), "query", F.lit("\n\nReasoning paths:\n"), "lines", F.lit(f"\n\n{_TASK}"), F.lit(tail))
+    text = F.concat(F.lit(head), F.lit("Question: "), "query", F.lit("\n\nReasoning paths:\n"), "lines", F.lit(f"\n\n{TASK}"), F.lit(tail))
     return queries.join(lines, "query_id").select("query_id", text.alias("prompt"))
 
 
