@@ -72,7 +72,7 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     rows = rows.select("id", "text_hash", "key", "size", "source_size", "target", whole.alias("copies"), rank.alias("rank"))
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS)).cast("int"))
     for _ in range(PASSES):
-        rows = _take_in_order(scratch.table(rows), most)
+        rows = _take_in_order(scratch.table(rows), most, scratch)
     nth = F.row_number().over(Window.partitionBy("id", "text_hash", "key").orderBy(F.desc("copies")))
     out = rows.select(F.col("id").alias("doc_id"), "text_hash", F.col("key").alias("source_key"), nth.alias("nth"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     out = scratch.table(out)
@@ -102,13 +102,14 @@ def _source_key() -> Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
 
 
-def _take_in_order(rows: DataFrame, most: int) -> DataFrame:
+def _take_in_order(rows: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """One pass: of the documents not ranked out yet that fit into what the source still lacks, the first ones in order."""
     lacking = rows.groupBy("key").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("has")).select("key", (F.col("t") - F.col("has")).alias("room"))
     rows = rows.join(lacking, "key")
     open_ = F.col("rank").isNotNull() & (F.col("size") <= F.col("room")) & (F.col("copies") < most)
     mark = rows.withColumn("fits", F.when(open_, F.col("size")))
     sums = mark.where("fits IS NOT NULL").groupBy("key", "bucket").agg(F.sum("fits").alias("in_bucket"))
+    sums = scratch.table(sums)  # summed where (key, bucket) meet, so that a source's task gets a row for each bucket and no more
     before = F.sum("in_bucket").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("key", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("fits").over(Window.partitionBy("key", "bucket").orderBy(F.col("fits").isNull(), "rank", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
