@@ -105,7 +105,7 @@ def _source_key() -> Column:
 def _take_in_order(rows: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """One pass: of the documents not ranked out yet that fit into what the source still lacks, the first ones in order."""
     lacking = rows.groupBy("key").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("has")).select("key", (F.col("t") - F.col("has")).alias("room"))
-    rows = rows.join(lacking, "key")
+    rows = rows.join(scratch.table(lacking), "key")  # a row for each source, of known size: no row of documents is dealt by its source
     open_ = F.col("rank").isNotNull() & (F.col("size") <= F.col("room")) & (F.col("copies") < most)
     mark = rows.withColumn("fits", F.when(open_, F.col("size")))
     sums = mark.where("fits IS NOT NULL").groupBy("key", "bucket").agg(F.sum("fits").alias("in_bucket"))

@@ -50,7 +50,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     words. component_id is the smallest doc_id that links can reach. kept: doc_id = component_id.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows of a null doc_id are returned
-    with a null component and are not kept; repeated rows are returned as often as they come. Other columns
+    with a null component and are not kept; repeated rows are returned as often as they come (ids name documents: of
+    different texts under one id a single one counts for links). Other columns
     are ignored. An empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-duplicates")
