@@ -70,7 +70,12 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     u = uniform(F.col("id"))
     rank = F.when(odds > 0, (u / (1 - u)) / (odds / (1 - odds)))
     rows = rows.select("id", "text_hash", "key", "size", "source_size", "target", whole.alias("copies"), rank.alias("rank"))
-    rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS)).cast("int"))
+    # buckets follow the order and are about even: at the source's own odds the scaled rank is u / (1 - u); rows without a rank are dealt anywhere
+    level = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
+    usual = F.least(F.greatest(level - F.floor(level), F.lit(1e-9)), F.lit(1 - 1e-9))
+    scaled = F.col("rank") * usual / (1 - usual)
+    at = F.least(F.lit(BUCKETS - 1), F.floor(scaled / (1 + scaled) * BUCKETS))
+    rows = rows.withColumn("bucket", F.coalesce(at, -1 - F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).cast("int"))
     for _ in range(PASSES):
         rows = _take_in_order(scratch.table(rows), most, scratch)
     nth = F.row_number().over(Window.partitionBy("id", "text_hash", "key").orderBy(F.desc("copies")))
