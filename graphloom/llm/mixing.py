@@ -74,7 +74,7 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     level = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     usual = F.least(F.greatest(level - F.floor(level), F.lit(1e-9)), F.lit(1 - 1e-9))
     scaled = F.col("rank") * usual / (1 - usual)
-    at = F.least(F.lit(BUCKETS - 1), F.floor(scaled / (1 + scaled) * BUCKETS))
+    at = F.when(scaled.isNotNull(), F.least(F.lit(BUCKETS - 1), F.floor(scaled / (1 + scaled) * BUCKETS)))
     rows = rows.withColumn("bucket", F.coalesce(at, -1 - F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).cast("int"))
     for _ in range(PASSES):
         rows = _take_in_order(scratch.table(rows), most, scratch)
