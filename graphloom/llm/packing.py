@@ -28,6 +28,10 @@ from graphloom.llm.scratch import Scratch, small_batches
 SALTS = 256
 #: The pattern that splits text before the merges of the byte-level vocabulary (fixed).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The faster library's pattern engine fails on a white-space run of a million characters; runs of this length go to the tokenizer's own.
+LONG_RUN = 500_000
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_SPACE = regex.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}+")
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -41,11 +45,13 @@ class IdEncoder:
     """Token ids of whole texts by a byte-level BPE tokenizer file, in whose vocabulary a token's id is its rank.
 
     The file is read by its own library; the merges are done by a faster one over the same ranks and the same pattern,
-    which gives the same ids. Strings of special tokens inside a text become those tokens, as the library does by default.
+    which gives the same ids, save those of very long white-space runs, which the file's own library does itself.
+    Strings of special tokens inside a text become those tokens, as the library does by default.
     """
 
     def __init__(self, file: str):
         library = tokenizers.Tokenizer.from_file(file)
+        self.library = library
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         place = _byte_of_character()
         ranks = {bytes(place[c] for c in token): i for token, i in library.get_vocab().items() if token not in self.special}
@@ -54,12 +60,24 @@ class IdEncoder:
 
     def encode(self, text: str) -> list[int]:
         if self.split is None or not self.split.search(text):
-            return self.merge(text)
+            return self._plain(text)
         out = []
         for i, part in enumerate(self.split.split(text)):
-            out += [self.special[part]] if i % 2 else self.merge(part)
+            out += [self.special[part]] if i % 2 else self._plain(part)
         return out
 
+    def _plain(self, text: str) -> list[int]:
+        """The ids of a text without special tokens. The pattern always cuts before a white-space run, and before its last character if more text follows."""
+        if len(text) < LONG_RUN:
+            return self.merge(text)
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.merge(text[at : run.start()])
+            out += self.library.encode(text[run.start() : end], add_special_tokens=False).ids
+            at = end
+        return out + self.merge(text[at:])
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(file: str) -> IdEncoder:

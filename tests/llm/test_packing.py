@@ -18,6 +18,12 @@ def test_ids_are_those_of_the_library():
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_white_space():
+    own, library, n = IdEncoder(FILE), tokenizers.Tokenizer.from_file(FILE), 1_100_000
+    for text in (" " * n, "a" + " " * n + "b c", "a \n" + "\n" * n + "b<|endoftext|>" + "\t \xa0\u3000" * (n // 4) + "?", "x" + " " * 600_000 + "yz" + " " * n + "\x1c"):
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_holds_every_document_once():
     rnd = np.random.default_rng(6)
     for size, n in ((10, 50), (100, 400), (2048, 3000), (2048, 1), (7, 0)):
