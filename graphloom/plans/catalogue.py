@@ -520,7 +520,7 @@ def html_sections(spark, d):
 
 
 def _document_chunks(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.lit(0).alias("section_no"), F.lit(0).alias("position"), "text")
+    return long_enough(chunk_documents(table(spark, d, "documents")))
 
 
 @query()

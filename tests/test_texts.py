@@ -1,7 +1,10 @@
+import hashlib
 import io
 import random
+import re
 import time
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +12,8 @@ from graphloom.config import Config
 from graphloom.functions import texts as t
 from graphloom.functions.embedding import HashEmbedder, embed, embed_labels, get_embedder
 from graphloom.operators.chunking import chunk_documents, chunk_text, long_enough, quality, sectionise
-from graphloom.operators.extraction import concept_edges, concept_nodes, heading_edges, metadata_nodes, phrases
+from graphloom.operators.extraction import STOP_WORDS, concept_edges, concept_nodes, heading_edges, metadata_nodes, phrases
+from graphloom.plans.catalogue import QUERIES
 from graphloom.plans.ingest import document_rows, report_lines, report_totals, simple_rows, simple_sentences
 from graphloom.plans.narration import narrate, path_lines, prompts
 from graphloom.sources.documents import flat_texts, parse_file, parse_html, parse_markdown, read_documents, read_folder, sectionise_blocks
@@ -135,6 +139,47 @@ def test_extraction(spark):
     assert kinds == {0: "causal", 1: "constitutive"}
 
 
+def brute_extraction(docs):
+    """Concepts and edges of documents, word by word."""
+    concepts, edges = Counter(), Counter()
+    for doc_id, text in docs:
+        ident = lambda label, doc_id=doc_id: hashlib.sha256(f"{doc_id}|{label}".encode()).hexdigest()[:32]
+        for chunk in chunk_text(text):
+            if len(chunk["text"]) < 50:
+                continue
+            found = {}
+            for sentence in re.split(t.SENTENCE_END, chunk["text"]):
+                kinds = [("causal", t.CAUSAL_MARKS), ("contrastive", t.CONTRAST_MARKS), ("constitutive", t.CONSTITUTIVE_MARKS), ("sequential", t.SEQUENCE_MARKS)]
+                kind = next((k for k, marks in kinds if any(m in sentence.lower() for m in marks)), "semantic")
+                held = [""]
+                for word in re.findall(r"[\w'-]+|\s+|[^\w\s'-]+", sentence):
+                    if word.lower() in STOP_WORDS or not re.match(r"[\w\s'-]", word):
+                        held.append("")
+                    else:
+                        held[-1] += word
+                chain = [x.strip() for x in held if x.strip()]
+                for phrase in chain:
+                    if len(phrase) >= 3 and phrase.lower() not in t.PRONOUNS:
+                        found[phrase.lower()] = found.get(phrase.lower(), False) or phrase[0].isupper() and not sentence.startswith(phrase)
+                for a, b in zip(map(str.lower, chain), map(str.lower, chain[1:]), strict=False):
+                    if a != b and min(len(a), len(b)) >= 3 and a not in t.PRONOUNS and b not in t.PRONOUNS:
+                        edges[str(doc_id), ident(a), ident(b), kind] += 1
+            for label, entity in found.items():
+                concepts[str(doc_id), label, "entity" if entity else "concept", 0.75 if entity else 0.70] += 1
+    return concepts, edges
+
+
+def test_extraction_from_documents(spark, tmp_path):
+    sections = "# Energy\n\n" + PROSE * 2 + "\n## Tiny\nshort\n2.1 Storage\nThe Grid Company keeps batteries, cells and ox as reserve; it sells them to Big City.\n" + "Then power is made of light and wind. " * 3
+    accents = "Die größte Mühle steht über Österreich, weil Wärme fließt. Élan vital et l'été, né à Paris and made of pâté. " * 2
+    docs = [(1, PROSE * 100), (2, sections), (3, sections), (4, ""), (5, None), (6, "too short"), (7, accents), (8, "word and thing or idea " * 400), (9, "\n\n".join(f"Paragraph {i} of Mills. " + "Wind and sun are power. " * 40 for i in range(12)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda name: Counter(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    concepts, edges = brute_extraction(docs)
+    assert {i for i, *_ in concepts} == {"1", "2", "3", "7", "8", "9"} and "élan vital et l'été" in {x[1] for x in concepts}
+    assert rows("extract_concepts") == concepts and rows("extract_edges") == edges
+
+
 def test_metadata_and_heading_edges(spark):
     doc = [("p", "The Title", "Ada", "", "md", "", [("Introduction", "x", 1, 0), ("Results", "y", 1, 0), ("results ", "z", 1, 0), ("", "w", 0, 0)], None)]
     docs = spark.createDataFrame(doc, "path string, title string, author string, date string, format string, raw_text string, sections array<struct<heading: string, body: string, level: int, page: int>>, error string")
