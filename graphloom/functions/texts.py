@@ -14,6 +14,9 @@ CONTRAST_MARKS = ["however", "but", "although", "despite", "yet", "whereas", "ne
 CONSTITUTIVE_MARKS = ["such as", "including", "for example", "namely", "consists of", "made of", "part of"]
 SEQUENCE_MARKS = ["before", "after", "then", "subsequently", "first", "next", "finally", "following", "previously"]
 CAUSAL_VERBS = ["cause", "lead", "produce", "drive", "trigger", "generate", "result", "create", "enable", "prevent"]
+#: Their plain inflections, each with its base form.
+CAUSAL_FORMS = {form: verb for verb in CAUSAL_VERBS for form in (verb, verb + "s", verb.removesuffix("e") + "ed", verb.removesuffix("e") + "ing")} | {"led": "lead", "drove": "drive", "driven": "drive"}
+_CAUSAL_STEMS = ["led", "drov", *(v.removesuffix("e") for v in CAUSAL_VERBS)]
 # A heading is a Markdown one, a numbered one, or a line of capitals.
 HEADING_MARKDOWN = r"^(#{1,4})\s+(.+)$"
 HEADING_NUMBERED = r"^((?:\d+\.)+\d*)\s+(.+)$"
@@ -53,6 +56,18 @@ def edge_type(sentence: Column, verbs: Column | None = None) -> Column:
     return out.otherwise("semantic")
 
 
+def causal_verbs(sentence: Column) -> Column:
+    """The base forms of the causal verbs among the sentence's words, for edge_type.
+
+    There is no tagger: a form right after an article or a possessive is taken as a noun, any other as a verb.
+    """
+    text = F.lower(sentence)
+    stem = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in _CAUSAL_STEMS))  # far cheaper than the pattern, which few sentences need
+    forms = F.regexp_extract_all(text, F.lit(r"(?U)(?<!\b(?:a|an|the|my|your|his|her|its|our|their)\s{1,3})\b(" + "|".join(CAUSAL_FORMS) + r")\b"), F.lit(1))
+    base = F.create_map(*(F.lit(x) for pair in CAUSAL_FORMS.items() for x in pair))
+    return F.when(stem, F.transform(forms, lambda w: base[w]))
+
+
 def heading(line: Column) -> Column:
     """The text of a heading line, null for other lines."""
     out = F.when(line.rlike(HEADING_MARKDOWN), strip(F.regexp_extract(line, HEADING_MARKDOWN, 2)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.texts import PRONOUNS, edge_type, is_label, sentences, strip
+from graphloom.functions.texts import PRONOUNS, causal_verbs, edge_type, is_label, sentences, strip
 
 STOP_WORDS = sorted({*"a an the and or nor of in on at to from by with for as is are was were be been being has have had do does did will would can could may might shall should must not no so if than into over under about between through during because since therefore thus hence however but although despite yet whereas such including then before after first next finally".split(), *PRONOUNS})
 _CUTS = r"(?iU)(?<![\w'])(?:" + "|".join(STOP_WORDS) + r")(?![\w'])|[^\w\s'\-]+"
@@ -37,7 +37,7 @@ def concept_edges(found: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("doc_id", "section_no", "position", "sentence_no").orderBy("phrase_no")
-    typed = found.select("doc_id", "section_no", "position", "sentence_no", "phrase_no", "label", edge_type(F.col("sentence")).alias("edge_type"))  # sentences stay out of the shuffle
+    typed = found.select("doc_id", "section_no", "position", "sentence_no", "phrase_no", "label", edge_type(F.col("sentence"), causal_verbs(F.col("sentence"))).alias("edge_type"))  # sentences stay out of the shuffle
     rows = typed.withColumn("following", F.lead("label").over(order)).where("label IS NOT NULL AND following IS NOT NULL AND label != following")
     return rows.select("doc_id", "section_no", "position", "sentence_no", "phrase_no", node_id(F.col("doc_id"), F.col("label")).alias("src"), node_id(F.col("doc_id"), F.col("following")).alias("dst"), "edge_type")
 

@@ -139,6 +139,13 @@ def test_extraction(spark):
     assert kinds == {0: "causal", 1: "constitutive"}
 
 
+def test_causal_verbs_type_edges(spark):
+    kinds = {"Strong wind and sun drives prices of power": "causal", "Heat for weeks caused stress in plants": "causal", "Rain in spring led rivers to towns": "causal", "Storms were DRIVEN by heat": "causal", "People of towns, enabling trade": "causal", "The cause of heat was wind": "semantic", "Its results were sold to towns": "semantic", "Misled people saw causeways in towns": "semantic", "A driver of trucks": "semantic", "Wind drives prices but heat falls": "contrastive"}
+    chunks = spark.createDataFrame([(s, 0, 0, s) for s in kinds], "doc_id string, section_no int, position int, text string")
+    found = {r.doc_id: r.edge_type for r in concept_edges(phrases(chunks)).collect()}
+    assert found == kinds
+
+
 def brute_extraction(docs):
     """Concepts and edges of documents, word by word."""
     concepts, edges = Counter(), Counter()
