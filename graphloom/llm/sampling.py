@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PARTS = 1_000_000
-
 
 def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[DataFrame, dict]:
     """About `most` rows at most for all labels together, as many of each label as there are if few; {label: its rows in all}.
@@ -23,7 +21,8 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[Da
         each[value] = min(n, room // (len(totals) - i))
         room -= each[value]
     chosen = F.lit(False)
-    part = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_PARTS))
+    hashed = F.xxhash64(F.col(key), F.lit("sample"))
     for value, n in totals.items():
-        chosen = chosen | ((F.col(label) == F.lit(value)) & (part < int(_PARTS * each[value] / n)))
+        last = (each[value] << 64) // n - (1 << 63) - 1  # the greatest hash of the share, to within 2 ** -64
+        chosen = chosen | ((F.col(label) == F.lit(value)) & (hashed <= F.lit(last).cast("long")) if each[value] else F.lit(False))
     return rows.where(chosen), totals

@@ -1,5 +1,7 @@
 import numpy as np
 from graphloom.llm.language_id import codewords, held_out, language_id, ngram_features
+from graphloom.llm.sampling import bounded_sample
+from pyspark.sql import functions as F
 
 WORDS = {"en": "the and of to that with house river".split(), "fr": "le la de que avec maison rivière une".split(), "de": "der die und mit haus fluß nicht eine".split()}
 
@@ -51,3 +53,11 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in language_id(d.withColumn("lang", d.lang.substr(9, 1).cast("string")).where("lang IS NULL")).collect()} <= {"und"}
     one = language_id(d.where("lang = 'en'"))
     assert {r.lang_pred for r in one.collect()} <= {"en", "und"}
+
+
+def test_sample_of_a_share_below_a_millionth(spark):
+    rows = spark.range(20_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, "few").otherwise("many").alias("lang"))
+    sample, totals = bounded_sample(rows, "lang", "doc_id", 16)
+    found = [r.lang for r in sample.collect()]
+    assert totals == {"few": 4, "many": 19_999_996} and found.count("few") == 4 and 5 <= found.count("many") <= 24
+    assert bounded_sample(rows.limit(50), "lang", "doc_id", 100)[0].count() == 50
