@@ -20,14 +20,23 @@ PERIOD_DAYS = 32
 FOREVER = "9999-12-31 00:00:00"
 
 
+def pattern_key(kind: Column, pattern: Column) -> Column:
+    """The pattern in the form that capture_keys gives it."""
+    text = F.lower(pattern)
+    host = F.regexp_replace(F.regexp_extract(text, "^[^/]*", 0), r"\.+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, "(?s)^[^/]*(.*)$", 1), "/+", "/"), "(?<=.)/$", "")
+    return F.when(kind == "prefix", F.concat(host, F.when(path == "", "/").otherwise(path))).otherwise(F.regexp_replace(text, r"\.+$", ""))
+
+
 def validity_intervals(changes: DataFrame) -> DataFrame:
     """(kind, pattern, action, valid_from, valid_to) from changes(kind, pattern, action, changed_at).
 
     A change ends the one before it on the same kind and pattern. Of changes at one time that with the greatest
     action by name counts (remove, block, allow). Changes with a null in any column, and unknown kinds or actions, are left out; a repeated one
-    changes nothing. Patterns are compared in lower case.
+    changes nothing. Patterns are brought to the form of the captures' keys: lower case, the host without closing dots, a
+    prefix's path without closing or doubled slashes ('host/' for all of a host).
     """
-    rows = changes.select("kind", F.lower("pattern").alias("pattern"), "action", "changed_at").dropna()
+    rows = changes.select("kind", pattern_key(F.col("kind"), F.col("pattern")).alias("pattern"), "action", "changed_at").dropna()
     rows = rows.where(F.col("kind").isin(*KINDS) & F.col("action").isin("block", "allow", "remove"))
     rows = rows.groupBy("kind", "pattern", "changed_at").agg(F.max("action").alias("action"))
     by_time = Window.partitionBy("kind", "pattern").orderBy("changed_at")

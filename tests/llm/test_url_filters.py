@@ -46,3 +46,11 @@ def test_intervals_end_with_the_next_change(spark):
     changes = spark.createDataFrame(CHANGES, "kind string, pattern string, action string, changed_at timestamp")
     spans = [(r.valid_from, r.valid_to, r.action) for r in validity_intervals(changes).where("kind = 'host'").orderBy("valid_from").collect()]
     assert spans[0] == (at(10), at(50), "block") and spans[1][0] == at(300) and len(spans) == 2
+
+
+def test_patterns_take_the_form_of_keys(spark):
+    changes = [("prefix", "One.com/en/", "block", at(0)), ("prefix", "two.com.//a//b//", "block", at(0)), ("domain", "three.com.", "block", at(0)), ("host", "four.com.", "block", at(0)), ("prefix", "five.com", "block", at(0)), ("prefix", "five.com/x/", "allow", at(1)), ("prefix", "five.com/x", "remove", at(2))]
+    urls = {"http://one.com/en/a": "block", "http://one.com/english": "none", "http://two.com/a/b/c": "block", "http://two.com/a": "none", "http://x.three.com/": "block", "http://four.com": "block", "http://five.com/x/y": "block", "http://six.com/": "none"}
+    captures = spark.createDataFrame([(i, u, at(5)) for i, u in enumerate(urls)], "capture_id long, url string, fetched_at timestamp")
+    out = filter_urls(captures, spark.createDataFrame(changes, "kind string, pattern string, action string, changed_at timestamp")).collect()
+    assert {[*urls][r.capture_id]: r.verdict for r in out} == urls and max(r.matches for r in out) == 1
