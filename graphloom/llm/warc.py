@@ -9,6 +9,7 @@ goes on from there, and logs the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -67,7 +68,7 @@ class Record:
 
 @dataclass
 class Gap:
-    """Bytes of the archive that belong to no valid record, and which check failed there."""
+    """Bytes of the archive that belong to no valid record, and which check failed there; of a member with valid records too, the whole member."""
 
     at: int
     size: int
@@ -105,19 +106,40 @@ def _plain_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at `at`; its checksum and length must be right."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(content, end, fault) of the gzip member at `at`; with a fault, what can be read of it."""
     reader = zlib.decompressobj(31)
     parts, next_ = [], at
-    try:
-        while not reader.eof and next_ < len(data):
-            parts.append(reader.decompress(data[next_ : next_ + (1 << 16)]))
-            next_ += 1 << 16
-    except zlib.error as e:
-        raise _Bad("damaged gzip member") from e
+    while not reader.eof and next_ < len(data):
+        piece = data[next_ : next_ + (1 << 16)]
+        before = reader.copy()
+        try:
+            parts.append(reader.decompress(piece))
+        except zlib.error:
+            with contextlib.suppress(zlib.error):  # byte by byte up to the damage
+                for i in range(len(piece)):
+                    parts.append(before.decompress(piece[i : i + 1]))
+            return b"".join(parts), at, "damaged gzip member"
+        next_ += 1 << 16
     if not reader.eof:
-        raise _Bad("gzip member is cut off")
-    return b"".join(parts), min(next_, len(data)) - len(reader.unused_data)
+        return b"".join(parts), at, "gzip member is cut off"
+    return b"".join(parts), min(next_, len(data)) - len(reader.unused_data), None
+
+
+def _inside(content: bytes, whole: bool) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The valid records of a member's content, and the first check that failed. Of a damaged member the record that its readable bytes end with is not trusted."""
+    found, fault, at = [], None, 0
+    while at < len(content):
+        try:
+            headers, block, end = _plain_record(content, at)
+            if whole or end < len(content):
+                found.append((headers, block))
+            at = end
+        except _Bad as e:
+            fault = fault or str(e)
+            version = _VERSION.search(content, at + 1)
+            at = version.start() if version else len(content)
+    return found, fault
 
 
 def _begins_record(data: bytes, at: int) -> bool:
@@ -145,12 +167,15 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     while at < len(data):
         try:
             if data.startswith(_MAGIC, at):
-                content, end = _member(data, at)
-                inner, found = 0, []
-                while inner < len(content):
-                    headers, block, inner = _plain_record(content, inner)
-                    found.append(Record(at, end - at, headers, block))
-                yield from found
+                content, end, fault = _member(data, at)
+                found, bad = _inside(content, fault is None)
+                stop = end if fault is None else _next_start(data, at + 1)
+                yield from (Record(at, stop - at, headers, block) for headers, block in found)
+                if fault or bad:
+                    if not found:
+                        stop = _next_start(data, at + 1)
+                    yield Gap(at, stop - at, fault or bad)
+                end = stop
             else:
                 headers, block, end = _plain_record(data, at)
                 yield Record(at, end - at, headers, block)
@@ -199,7 +224,7 @@ def read_archives(archives: DataFrame, blocks: bool = True) -> DataFrame:
     small_batches(archives.sparkSession, 4)
 
     def number(x: str | None) -> int | None:
-        return int(x) if x and re.fullmatch(r"-?\d{1,18}", x) else None
+        return int(x) if x and re.fullmatch(r"-?[0-9]{1,19}", x) and -(1 << 63) <= int(x) < 1 << 63 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]

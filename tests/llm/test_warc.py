@@ -78,3 +78,16 @@ def test_files_of_binary_file_source(spark, tmp_path):
         files = spark.read.format("binaryFile").load(str(folder)).selectExpr("path AS name", "content")
         found = read_archives(files).collect()
         assert any(r.gap for r in found) and all(r.block is not None for r in found if not r.gap)
+
+
+def test_members_of_several_records(spark):
+    parts = archive(False)
+    bad = [*parts]
+    bad[4] = bad[4].replace(b"<p>4 ", b"<p>X ", 1)
+    data = gzip_member(b"".join(bad)) + gzip_member(parts[0])
+    assert pages_of(data) == [i for i in range(12) if i != 4] + [0] and sum(isinstance(x, Gap) for x in read_archive(data)) == 1
+    whole = gzip_member(b"".join(parts))
+    assert pages_of(whole[:-3]) == list(range(11)) and 0 < len(pages_of(whole[: len(whole) * 2 // 3])) < 12
+    ids = [(1 << 63) - 1, -(1 << 63), 10**18, 1 << 63]
+    rows = [("a", gzip_member(b"".join(build_record("response", i, "u", b"x") for i in ids)))]
+    assert [r.page_id for r in read_archives(spark.createDataFrame(rows, "name string, content binary")).collect()] == [*ids[:3], None]
