@@ -9,7 +9,6 @@ goes on from there, and logs the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import re
 import uuid
@@ -18,15 +17,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.scratch import Scratch, small_batches
+from graphloom.llm.scratch import Scratch
 
 #: Bytes (compressed) after which the writer begins another archive.
 ARCHIVE_BYTES = 8_000_000
-_MAGIC = b"\x1f\x8b\x08"
+_MAGIC = re.compile(rb"\x1f\x8b\x08")
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_VERSION_ENDS = re.compile(rb"WARC/\d+\.\d+\Z")
+#: A header line, with the lines that continue it; and how many of them a header block may have.
+_LINE = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]{1,128})[ \t]*:([^\r\n]*(?:\r\n[ \t][^\r\n]*)*)\r\n")
+_MOST_LINES = 1000
+# Names that every record has, and those that a record may repeat.
+_MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+_REPEATED = ("warc-concurrent-to", "warc-protocol")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace for URLs (fixed by RFC 4122)
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -40,11 +47,11 @@ def record_id(key: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{key}')}>"
 
 
-def build_record(kind: str, key: int | str, uri: str | None, payload: bytes, refers_to: int | str | None = None, date: str = _DATE) -> bytes:
-    """One plain record. A revisit keeps digest and length of the full payload but stores no block."""
+def build_record(kind: str, key: int | str, uri: str | None, payload: bytes, refers_to: int | str | None = None, date: str = _DATE, own: str | None = None) -> bytes:
+    """One plain record. A revisit keeps digest and length of the full payload but stores no block. `own` is what its record id is made of where the key names no record."""
     block = b"" if kind == "revisit" else payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "")
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Page-ID: {key}", f"X-Payload-Length: {len(payload)}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(own or key)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Page-ID: {key}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
@@ -79,34 +86,82 @@ class _Bad(Exception):
     pass
 
 
-def _plain_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def _headers(data: bytes | memoryview, at: int) -> tuple[dict[str, str], int]:
+    """(headers, place of the block) of a header block that begins at `at`; raises _Bad where a check fails.
+
+    A record that was cut off inside its header runs on into the next record's. That shows in a name that comes twice, or in a version
+    line at the end of a value after which every mandatory name comes (once); so the next record keeps its own headers.
+    """
+    headers: dict[str, str] = {}
+    after: set[str] | None = None
+    for _ in range(_MOST_LINES):
+        line = _LINE.match(data, at)
+        if not line:
+            break
+        name, value = line[1].decode("ascii").lower(), line[2].strip()
+        if name in headers and name not in _REPEATED:
+            raise _Bad(f"{name} comes twice")
+        headers.setdefault(name, value.decode("utf-8", "replace"))
+        if after is not None:
+            after.add(name)
+        elif _VERSION_ENDS.search(value):
+            after = set()
+        at = line.end()
+    if data[at : at + 2] != b"\r\n":
+        raise _Bad("header line without a colon, or no end of the header")
+    if after is not None and after.issuperset(_MANDATORY):
+        raise _Bad("a version line inside the header")
+    for name in _MANDATORY:
+        if name not in headers:
+            raise _Bad(f"no {name}")
+    return headers, at + 2
+
+
+def _agrees(labelled: str, block: bytes) -> bool:
+    """Whether a digest with its label is the block's; True for algorithms that are not checked."""
+    kind, _, value = labelled.partition(":")
+    if kind.lower() != "sha1":
+        return True
+    sha1 = hashlib.sha1(block).digest()
+    return value.upper() == base64.b32encode(sha1).decode() or value.lower() == sha1.hex()
+
+
+def _plain_record(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the plain record at `at`; raises _Bad where a check fails."""
     version = _VERSION.match(data, at)
     if not version:
         raise _Bad("no version line")
-    end = data.find(b"\r\n\r\n", version.end() - 2)
-    if end < 0:
-        raise _Bad("header does not end")
-    headers = {}
-    for line in data[version.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise _Bad("header line without a colon")
-        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
+    headers, start = _headers(data, version.end())
+    length = headers["content-length"]
+    if not re.fullmatch("[0-9]{1,18}", length):
         raise _Bad("no content length")
-    start, stop = end + 4, end + 4 + int(length)
+    stop = start + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise _Bad("record does not end where its length says")
-    block = data[start:stop]
-    for name, covers in (("warc-block-digest", True), ("warc-payload-digest", headers.get("warc-type") != "revisit")):
-        if covers and headers.get(name, "").startswith("sha1:") and headers[name][5:] != digest(block):
+    block = bytes(data[start:stop])
+    # a payload inside an HTTP message, of a revisit or in segments is not the block
+    is_payload = headers["warc-type"] != "revisit" and "warc-segment-number" not in headers and not headers.get("content-type", "").lower().startswith("application/http")
+    for name, covers in (("warc-block-digest", True), ("warc-payload-digest", is_payload)):
+        if covers and not _agrees(headers.get(name, ""), block):
             raise _Bad(f"{name} does not match")
     return headers, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+def _readable(reader, piece: bytes | memoryview) -> list[bytes]:
+    """What can be decompressed of a piece that as a whole cannot: it is halved towards the damage."""
+    parts = []
+    while len(piece):
+        half = (len(piece) + 1) // 2
+        trial = reader.copy()
+        try:
+            parts.append(trial.decompress(piece[:half]))
+            reader, piece = trial, piece[half:]
+        except zlib.error:
+            piece = piece[:half] if half < len(piece) else piece[:0]
+    return parts
+
+
+def _member(data: bytes | memoryview, at: int) -> tuple[bytes, int, str | None]:
     """(content, end, fault) of the gzip member at `at`; with a fault, what can be read of it."""
     reader = zlib.decompressobj(31)
     parts, next_ = [], at
@@ -116,10 +171,7 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
         try:
             parts.append(reader.decompress(piece))
         except zlib.error:
-            with contextlib.suppress(zlib.error):  # byte by byte up to the damage
-                for i in range(len(piece)):
-                    parts.append(before.decompress(piece[i : i + 1]))
-            return b"".join(parts), at, "damaged gzip member"
+            return b"".join([*parts, *_readable(before, piece)]), at, "damaged gzip member"
         next_ += 1 << 16
     if not reader.eof:
         return b"".join(parts), at, "gzip member is cut off"
@@ -142,57 +194,78 @@ def _inside(content: bytes, whole: bool) -> tuple[list[tuple[dict[str, str], byt
     return found, fault
 
 
-def _begins_record(data: bytes, at: int) -> bool:
-    """Whether a gzip member that begins like a record seems to start here; the search skips chance matches."""
-    try:
-        return _VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 512], 64)) is not None
-    except zlib.error:
-        return False
+class _Starts:
+    """Places that begin like a record. The next of either kind is kept until it is passed, so that every byte is searched once however many gaps there are."""
+
+    def __init__(self, data: bytes | memoryview):
+        self.data, self.version, self.member = data, -1, -1
 
+    def after(self, at: int) -> int:
+        """The first place from `at` on, or the end. Positions asked for must ascend."""
+        if self.version < at:
+            found = _VERSION.search(self.data, at)
+            self.version = found.start() if found else len(self.data)
+        while self.member < at:
+            found = _MAGIC.search(self.data, at)
+            while found and not self._begins_record(found.start()):
+                found = _MAGIC.search(self.data, found.start() + 1)
+            self.member = found.start() if found else len(self.data)
+        return min(self.version, self.member)
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place that begins like a record, or the end."""
-    version = _VERSION.search(data, at)
-    best, magic = version.start() if version else len(data), data.find(_MAGIC, at)
-    while 0 <= magic < best:
-        if _begins_record(data, magic):
-            return magic
-        magic = data.find(_MAGIC, magic + 1)
-    return best
+    def _begins_record(self, at: int) -> bool:
+        """Whether the gzip member that seems to start here begins like a record; the search skips chance matches."""
+        try:
+            return _VERSION.match(zlib.decompressobj(31).decompress(self.data[at : at + 512], 64)) is not None
+        except zlib.error:
+            return False
 
 
-def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    """Every record that can be told from the archive's bytes, in order, and the gaps between them."""
-    at = 0
+def _items(data: bytes | memoryview) -> Iterator[Record | Gap]:
+    at, starts = 0, _Starts(data)
     while at < len(data):
-        try:
-            if data.startswith(_MAGIC, at):
-                content, end, fault = _member(data, at)
-                found, bad = _inside(content, fault is None)
-                stop = end if fault is None else _next_start(data, at + 1)
-                yield from (Record(at, stop - at, headers, block) for headers, block in found)
-                if fault or bad:
-                    if not found:
-                        stop = _next_start(data, at + 1)
-                    yield Gap(at, stop - at, fault or bad)
-                end = stop
-            else:
+        if _MAGIC.match(data, at):
+            content, end, fault = _member(data, at)
+            found, bad = _inside(content, fault is None)
+            if fault:
+                end = starts.after(at + 1)
+            yield from (Record(at, end - at, headers, block) for headers, block in found)
+            if fault or bad or not found:
+                yield Gap(at, end - at, fault or bad or "empty member")
+        else:
+            try:
                 headers, block, end = _plain_record(data, at)
                 yield Record(at, end - at, headers, block)
-            at = end
-        except _Bad as e:
-            start = _next_start(data, at + 1)
-            yield Gap(at, start - at, str(e))
-            at = start
+            except _Bad as e:
+                end = starts.after(at + 1)
+                yield Gap(at, end - at, str(e))
+        at = end
+
+
+def read_archive(data: bytes | memoryview) -> Iterator[Record | Gap]:
+    """Every record that can be told from the archive's bytes, in order, and the gaps between them; gaps that touch are one, with the first one's reason."""
+    gap: Gap | None = None
+    for item in _items(data):
+        if isinstance(item, Gap) and gap and gap.at + gap.size == item.at:
+            gap = Gap(gap.at, gap.size + item.size, gap.reason)
+            continue
+        if gap:
+            yield gap
+        gap = item if isinstance(item, Gap) else None
+        if gap is None:
+            yield item
+    if gap:
+        yield gap
 
 
 def write_archives(records: DataFrame, compressed: bool = True) -> DataFrame:
-    """Archives (name, content) of records(page_id, url, payload, record_type, refers_to); one task's records fill some archives."""
-    small_batches(records.sparkSession)
+    """Archives (name, content) of records(page_id, url, payload, record_type, refers_to); one task's records fill some archives.
 
+    A record's id is made of its page_id, so rows that repeat a page_id repeat a record id; rows without page_id have an id each.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        size = 0
+        size = nth = 0
+        context = TaskContext.get()
 
         def flush() -> pa.RecordBatch:
             content = b"".join(held)
@@ -201,7 +274,9 @@ def write_archives(records: DataFrame, compressed: bool = True) -> DataFrame:
 
         for batch in batches:
             for page, url, payload, kind, refers in zip(*(c for c in batch.columns), strict=True):
-                record = build_record(kind.as_py(), "" if page.as_py() is None else page.as_py(), url.as_py(), (payload.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py())
+                key, nth = page.as_py(), nth + 1
+                own = f"unnamed:{context.partitionId() if context else 0}:{nth}" if key is None else None
+                record = build_record(kind.as_py(), "" if key is None else key, url.as_py(), (payload.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py(), own=own)
                 held.append(gzip_member(record) if compressed else record)
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
@@ -219,10 +294,10 @@ RECORDS = "archive string, at long, size long, page_id long, record_type string,
 def read_archives(archives: DataFrame, blocks: bool = True) -> DataFrame:
     """A row for each record and each quarantined gap of archives(name, content).
 
-    Rows of a gap have `gap` (the failed check) and no record_type. blocks: whether to return the records' blocks.
+    Rows of a gap have `gap` (the failed check) and no record_type. blocks: whether to return the records' blocks. A null
+    content gives no rows. An archive is a row, so it may have 2 GB at most; it is read in place, and besides it a task holds one member and
+    one record at a time.
     """
-    small_batches(archives.sparkSession, 4)
-
     def number(x: str | None) -> int | None:
         return int(x) if x and re.fullmatch(r"-?[0-9]{1,19}", x) and -(1 << 63) <= int(x) < 1 << 63 else None
 
@@ -233,7 +308,7 @@ def read_archives(archives: DataFrame, blocks: bool = True) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
-                for x in read_archive(content.as_py() or b""):
+                for x in read_archive(memoryview(content.as_buffer()).cast("B") if content.is_valid else b""):  # no copy of the archive
                     row = dict.fromkeys(names) | {"archive": name.as_py(), "at": x.at, "size": x.size}
                     if isinstance(x, Gap):
                         row["gap"] = x.reason

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from graphloom.llm.scratch import Scratch
@@ -91,3 +92,66 @@ def test_members_of_several_records(spark):
     ids = [(1 << 63) - 1, -(1 << 63), 10**18, 1 << 63]
     rows = [("a", gzip_member(b"".join(build_record("response", i, "u", b"x") for i in ids)))]
     assert [r.page_id for r in read_archives(spark.createDataFrame(rows, "name string, content binary")).collect()] == [*ids[:3], None]
+
+
+def facts(data):
+    return [(x.headers["x-page-id"], x.headers.get("x-refers-to-page"), x.headers["warc-type"], x.block) for x in read_archive(data) if isinstance(x, Record)]
+
+
+def gaps(data):
+    return [(x.at, x.size) for x in read_archive(data) if isinstance(x, Gap)]
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_every_cut_of_a_record(compressed):
+    made = [build_record("response", 1, "http://x.example/1", b"<p>one</p>"), build_record("revisit", 9, "http://x.example/WARC/1.1", b"<p>five</p>", 5), build_record("response", 5, "http://x.example/5", b"<p>five</p>"), build_record("revisit", 7, "http://x.example/7", b"<p>one</p>", 1)]
+    parts = [gzip_member(r) for r in made] if compressed else made
+    wanted = facts(b"".join(parts))
+    assert [f[:2] for f in wanted] == [("1", None), ("9", "5"), ("5", None), ("7", "1")]
+    for hurt in range(4):
+        at = sum(map(len, parts[:hurt]))
+        for n in range(len(parts[hurt])):
+            data = b"".join([*parts[:hurt], parts[hurt][:n], *parts[hurt + 1 :]])
+            rest = wanted[:hurt] + wanted[hurt + 1 :]
+            assert facts(data) == rest or (compressed and facts(data) == wanted), (hurt, n)  # a member may lose its end after the whole record was read
+            assert gaps(data) == ([(at, n)] if n else []), (hurt, n)
+
+
+def test_headers_of_other_writers():
+    def record(*lines, block=b"HTTP/1.1 200 OK\r\n\r\nx"):
+        return b"WARC/1.0\r\n" + b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    must = (b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:1>", b"warc-date:2024-01-01T00:00:00Z", b"Content-Length: 20")
+    sha = hashlib.sha1(b"HTTP/1.1 200 OK\r\n\r\nx").hexdigest().encode()
+    good = [record(*must), record(*must, b"WARC-Concurrent-To: <a>", b"WARC-Concurrent-To: <b>"), record(*must, b"X-Long: one", b"\ttwo"), record(*must, b"WARC-Block-Digest: SHA1:" + sha), record(*must, b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + b"A" * 32), record(must[0], b"WARC-Target-URI: http://x/WARC/1.0", *must[1:])]
+    for one in good:
+        assert [type(x) for x in read_archive(one)] == [Record], one
+    for i in range(4):
+        assert gaps(record(*must[:i], *must[i + 1 :]))
+    for bad in (record(*must, must[1]), record(*must, b"no colon"), record(*must, b"WARC-Payload-Digest: sha1:" + b"A" * 32), record(*must, b"WARC-Block-Digest: sha1:" + b"A" * 32), record(*must[:3], b"Content-Length: -1"), record(*must[:3], b"Content-Length: " + b"9" * 30)):
+        assert not facts_or_none(bad) and gaps(bad) == [(0, len(bad))]
+
+
+def facts_or_none(data):
+    return [x for x in read_archive(data) if isinstance(x, Record)]
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_time_grows_with_the_bytes_not_with_the_gaps(compressed):
+    body = random.Random(5).randbytes(2500)
+    made = []
+    for i in range(20_000):
+        part = build_record("response", i, "http://x.example/", body)
+        part = gzip_member(part, 1) if compressed else part
+        made.append(part[:1300] + b"\0\0\0\0" + part[1304:] if i % 2 else part)
+    data = b"".join(made)
+    began = time.perf_counter()
+    found = list(read_archive(data))
+    assert time.perf_counter() - began < 30
+    assert sum(isinstance(x, Record) for x in found) == 10_000 and sum(isinstance(x, Gap) for x in found) == 10_000
+
+
+def test_record_ids_of_unnamed_pages(spark):
+    d = spark.createDataFrame([(None, "u", str(i)) for i in range(5)], "page_id long, url string, html string")
+    data = [bytes(r.content) for r in write_archives(with_revisits(d, Scratch(spark, "test")).coalesce(1)).collect()]
+    assert len({x.headers["warc-record-id"] for a in data for x in read_archive(a)}) == 5
