@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,12 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; one made here where it is unset (local tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.folder", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.folder", folder)
-    return folder.rstrip("/")
+    """This application's folder below the one that spark.checkpoint.dir names, which all executors share. It goes when the application ends.
+
+    Where the setting is missing a temporary folder stands in, on a local master only; a cluster without it is an error.
+    """
+    name = spark.conf.get("graphloom.folder", None)
+    if not name:
+        above = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not above and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        name = f"{(above or tempfile.gettempdir()).rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+        spark.conf.set("graphloom.folder", name)
+        atexit.register(_forget, spark, name)
+    return name
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already; the folder's name says whose it was
+        remove_folder(spark, path)
 
 
 def held(frame: DataFrame) -> DataFrame:
