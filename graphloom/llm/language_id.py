@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import bounded_sample
-from graphloom.llm.scratch import small_batches
+from graphloom.llm.batches import parts, slices
 
 #: Hashed n-gram features; bytes of a text that are counted at once; labelled rows a model is fitted on at most.
 FEATURES, PIECE, FIT_ROWS = 1 << 13, 1 << 20, 1500
@@ -100,7 +100,6 @@ def fit_language_model(labelled: DataFrame, most: int = FIT_ROWS) -> LanguageMod
 
     Without any labelled row the model knows no language and answers `und`.
     """
-    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
     sample, totals = bounded_sample(rows, "lang", "doc_id", most)
     languages = sorted(totals)
@@ -108,7 +107,7 @@ def fit_language_model(labelled: DataFrame, most: int = FIT_ROWS) -> LanguageMod
         return LanguageModel([], codewords(0), np.zeros((FEATURES + 1, 0), np.float32), np.zeros(0))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [ngram_features(text.as_py()).astype(np.float16).tobytes() for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["doc_id", "lang", "features"])
 
@@ -136,13 +135,12 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.2
     so is every text if the model knows no language. ambiguous: the second language is nearer than
     `ambiguous_below`, or the text is `und`. Rows are returned as they come, with all their columns.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x bits floats, whatever the input
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        for texts in batches:
+        for texts in parts(batches):
             names, scores, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             for start in range(0, len(texts), 64):
                 some = [i for i in range(start, min(start + 64, len(texts))) if known.languages and texts.iloc[i] and _LETTER.search(texts.iloc[i])]

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.scratch import Scratch, small_batches
+from graphloom.llm.batches import slices
+from graphloom.llm.scratch import Scratch
 from graphloom.llm.shingles import band_keys, fast_similarity_sketch, set_key, shingle_hashes
 
 #: A pair at the threshold may fail to share a band with at most this probability.
@@ -55,7 +56,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are ignored. An empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-duplicates")
-    small_batches(spark)
     bands, rows = bands_for(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketches = scratch.table(_sketch(texts, width, bands, rows))
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _sketch(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, first, second, keys = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), width)
@@ -104,7 +104,7 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, n, hashes) for each of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [shingle_hashes(text.as_py(), width).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "n", "hashes"])
 

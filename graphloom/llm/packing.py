@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.scratch import Scratch, small_batches
+from graphloom.llm.batches import parts
+from graphloom.llm.scratch import Scratch
 
 #: Parts into which the documents of one length are dealt while they are ranked; a length may hold a third of all rows.
 SALTS = 256
@@ -90,12 +91,10 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, size: int = 2048, end: int
     Only longer documents are cut; the first piece may be shorter, all others are full. A null or empty text has the
     one id `end`. Repeated rows give repeated pieces.
     """
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids_of = encoder(tokenizer_file)
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             for text in texts:
                 ids = np.array([*ids_of.encode(text or ""), end], dtype="<u4")

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (local tests), one that is made here."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.scratch", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.scratch", folder)
-    return folder.rstrip("/")
+from graphloom.session import remove_folder, shared_folder
 
 
 class Scratch:
@@ -45,25 +37,12 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             if path := self.tables.pop(id(frame), None):
-                remove(self.spark, path)
+                remove_folder(self.spark, path)
 
     def keep(self, frame: DataFrame) -> None:
         self.tables.pop(id(frame), None)
 
     def close(self) -> None:
         for path in self.tables.values():
-            remove(self.spark, path)
+            remove_folder(self.spark, path)
         self.tables.clear()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds what a Python worker holds at once; texts can be long, so batches have few rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.scratch import small_batches
+from graphloom.llm.batches import parts
 
 #: Segment totals and pairs of pieces that a worker keeps at most, and whole segment tables; beyond it starts anew.
 #: Only the speed depends on them.
@@ -240,12 +240,10 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     `limit` tokens. A null text counts as an empty one: 0 bytes, 0 tokens. Repeated rows and null ids are returned
     as they come; other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens = counter(model_file)
-        for texts in batches:
+        for texts in parts(batches):
             rows = []
             for text in texts:
                 text = text or ""
@@ -261,12 +259,10 @@ def prefix_tables(docs: DataFrame, model_file: str) -> DataFrame:
 
     Entry k (from 0) is the count of the first k characters. A null or empty text has the one entry 0.
     """
-    small_batches(docs.sparkSession, 100)
-
     @F.pandas_udf("array<int>")
     def tables(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = counter(model_file)
-        for texts in batches:
+        for texts in parts(batches, 100):
             yield pd.Series([tokens.prefix_counts(text or "") for text in texts])
 
     return docs.select("doc_id", tables("text").alias("prefix_counts"))

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import bounded_sample
-from graphloom.llm.scratch import Scratch, small_batches
+from graphloom.llm.batches import parts, slices
+from graphloom.llm.scratch import Scratch
 
 #: Labelled rows a model is fitted on at most; rows of that sample that must hold a word of the vocabulary; the
 #: chance that any word gets into it that tells nothing.
@@ -119,7 +120,6 @@ def fit_severity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Se
     (above its median) become grade 2, so that severity has an order to learn. With fewer than two grades the model
     finds nothing toxic. Of labels that repeat an id the highest counts.
     """
-    small_batches(docs.sparkSession)
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("grade >= 0")
     graded = graded.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     sample, totals = bounded_sample(graded, "grade", "doc_id", most)
@@ -127,7 +127,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Se
         return SeverityModel({}, [40.0])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))], ["doc_id", "grade", "words"])
 
     scratch = Scratch(docs.sparkSession, "severity")
@@ -169,13 +169,12 @@ def severity(docs: DataFrame, model: SeverityModel, column: str = "severity") ->
     grade: the most likely grade. A null or empty text holds no word and gets what the thresholds alone give. Rows are
     returned as they come, with all their columns.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary from the bounded sample
 
     @F.pandas_udf("grade int, expected_severity double, p_toxic double, toxic boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             for text in texts:
                 over = [1.0, *known.above(text), 0.0]
