@@ -10,6 +10,7 @@ Documents find their places by their rank among those of their length; nothing e
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ from pyspark.sql.window import Window
 from graphloom.llm.batches import parts
 from graphloom.llm.scratch import Scratch
 
-#: Parts into which the documents of one length are dealt while they are ranked; a length may hold a third of all rows.
-SALTS = 256
+#: Documents of one length are dealt to parts of about so many while they are ranked, for a length may hold a third of all rows; and how many parts there are about at most.
+PART_ROWS, MOST_PARTS = 4096, 65_536
 #: The pattern that splits text before the merges of the byte-level vocabulary (fixed).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The faster library's pattern engine fails on a white-space run of a million characters; runs of this length go to the tokenizer's own.
+#: The faster library's pattern engine fails on a white-space run of a million characters; runs of this length are merged here.
 LONG_RUN = 500_000
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LONG_SPACE = regex.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}+")
@@ -42,24 +43,43 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _as_assumed(spec: dict, vocabulary: dict[str, int]) -> bool:
+    """Whether a tokenizer file does no more than the merges in order of rank over pieces by the pattern; its added tokens are taken as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", [])):
+        return False
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary.get(a + b, -1) for a, b in merges]
+    return all(x < y for x, y in zip([-1, *ids], ids, strict=False))
+
+
 class IdEncoder:
-    """Token ids of whole texts by a byte-level BPE tokenizer file, in whose vocabulary a token's id is its rank.
+    """Token ids of whole texts by a tokenizer file, as its library gives them without begin, end or padding.
 
-    The file is read by its own library; the merges are done by a faster one over the same ranks and the same pattern,
-    which gives the same ids, save those of very long white-space runs, which the file's own library does itself.
-    Strings of special tokens inside a text become those tokens, as the library does by default.
+    Where the file is a byte-level BPE in whose vocabulary a token's id is its rank, the merges are done by a faster library over the same
+    ranks and the same pattern, which gives the same ids; very long white-space runs, on which its pattern engine fails, are merged here.
+    Any other file is left to its own library. Strings of special tokens inside a text become those tokens, as the library does by default.
     """
 
     def __init__(self, file: str):
         library = tokenizers.Tokenizer.from_file(file)
+        library.no_padding()
+        library.no_truncation()
         self.library = library
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        self.fast = _as_assumed(json.loads(library.to_str()), library.get_vocab())
+        if not self.fast:
+            return
         place = _byte_of_character()
-        ranks = {bytes(place[c] for c in token): i for token, i in library.get_vocab().items() if token not in self.special}
-        self.merge = tiktoken.Encoding(file, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ranks = {bytes(place[c] for c in token): i for token, i in library.get_vocab().items() if token not in self.special}
+        self.merge = tiktoken.Encoding(file, pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def encode(self, text: str) -> list[int]:
+        if not self.fast:
+            return self.library.encode(text, add_special_tokens=False).ids
         if self.split is None or not self.split.search(text):
             return self._plain(text)
         out = []
@@ -75,10 +95,37 @@ class IdEncoder:
         for run in _LONG_SPACE.finditer(text):
             end = run.end() - (run.end() < len(text))
             out += self.merge(text[at : run.start()])
-            out += self.library.encode(text[run.start() : end], add_special_tokens=False).ids
+            out += self.merge_long(text[run.start() : end].encode())
             at = end
         return out + self.merge(text[at:])
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The merges of one long piece of few different bytes: all places of the pair of least rank at once.
+
+        That is the order of the merges one by one, for a pair with a new token has a greater rank than the token itself.
+        """
+        values, codes = np.unique(np.frombuffer(piece, dtype=np.uint8), return_inverse=True)
+        names = [bytes([v]) for v in values.tolist()]
+        codes = codes.astype(np.int32)
+        while len(codes) > 1:
+            k = len(names)
+            there = np.flatnonzero(np.bincount(codes[:-1] * k + codes[1:], minlength=k * k)).tolist()
+            ranked = [(self.ranks[names[p // k] + names[p % k]], p) for p in there if names[p // k] + names[p % k] in self.ranks]
+            if not ranked:
+                break
+            a, b = divmod(min(ranked)[1], k)
+            at = np.flatnonzero((codes[:-1] == a) & (codes[1:] == b))
+            if a == b:  # in a run of one token every other pair, from the left
+                starts = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, at, 0))
+                at = at[(at - starts) % 2 == 0]
+            if names[a] + names[b] not in names:
+                names.append(names[a] + names[b])
+            codes[at] = names.index(names[a] + names[b])
+            keep = np.ones(len(codes), dtype=bool)
+            keep[at + 1] = False
+            codes = codes[keep]
+        return np.array([self.ranks[n] for n in names])[codes].tolist()
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(file: str) -> IdEncoder:
@@ -169,8 +216,13 @@ def best_two_fit(pieces: DataFrame, size: int = 2048) -> DataFrame:
     their salt and doc_id; equal rows are interchangeable. An empty table gives no rows.
     """
     spark, scratch = pieces.sparkSession, Scratch(pieces.sparkSession, "packing")
-    held = scratch.table(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    cells = held.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # size * SALTS rows at most
+    held = scratch.table(pieces.withColumn("_hash", F.xxhash64(*pieces.columns)))
+    lengths = held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()  # `size` rows at most
+    each = max(PART_ROWS, int(lengths["n"].sum()) // MOST_PARTS)
+    lengths["_parts"] = -(-lengths["n"] // each)
+    parts_of = spark.createDataFrame(lengths[["length", "_parts"]] if len(lengths) else [], "length long, _parts long")
+    salted = held.join(F.broadcast(parts_of), "length").withColumn("_salt", F.pmod("_hash", "_parts").cast("int"))  # a row for each length
+    cells = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # `size` + MOST_PARTS rows at most
     cells = cells.sort_values(["length", "_salt"], ignore_index=True)
     counts = np.zeros(size + 1, dtype=np.int64)
     np.add.at(counts, cells["length"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=np.int64))
@@ -202,9 +254,9 @@ def best_two_fit(pieces: DataFrame, size: int = 2048) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     scratch.keep(held)
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_hash")
     before = spark.createDataFrame(cells[["length", "_salt", "_before"]] if len(cells) else [], "length long, _salt int, _before long")
-    ranked = held.withColumn("_rank", F.row_number().over(within)).join(before, ["length", "_salt"])
+    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(before, ["length", "_salt"])
     placed = ranked.withColumn("_at", place("length", F.col("_before") + F.col("_rank") - 1))
     return placed.select(*pieces.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 

@@ -59,6 +59,14 @@ class PrefixCounter:
             node[""] = piece
         dummy = sp.encode("a", out_type=str)[0]
         self.prefix = _MARK if dummy.startswith(_MARK) else ""
+        self._probe(sp, model_file)
+
+    def _probe(self, sp: sentencepiece.SentencePieceProcessor, model_file: str) -> None:
+        """Raises ValueError for a model that does more than these merges: that normalises texts, drops white space or has pieces of its user's."""
+        own = [piece for piece, score in self.score.items() if score == 0][:100]  # what a user adds has no rank
+        for text in (" a  b ", "\tA\r\n\nb\u3000c\xa0", "\ufb01 \uff21 \xe9 e\u0301 \u1100\u1161 \u200b\x00", "<s></s><unk><0x41>\u2581x", "x".join(own), " the of and to in 12345 \U0001f600"):
+            if self.count(text) != len(sp.encode(text)):
+                raise ValueError(f"{model_file}: not a plain byte-pair model; the library counts {text!r} otherwise")
 
     def cost(self, piece: str) -> int:
         """Tokens of one piece: a character outside the vocabulary falls back to its bytes."""

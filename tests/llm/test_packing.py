@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -24,6 +25,39 @@ def test_very_long_white_space():
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_of_ten_million_characters():
+    own, n = IdEncoder(FILE), 10_000_000
+    library = tokenizers.Tokenizer.from_file(FILE)
+    for c in (" ", "\n", "a", "\u3000"):
+        short = library.encode(c * 4096, add_special_tokens=False).ids
+        ids = own.encode(c * n)
+        assert ids[:1000] == short[:1000] and len(ids) >= n // 20, c
+
+
+def test_long_pieces_are_merged_as_one_by_one():
+    own, library, rnd = IdEncoder(FILE), tokenizers.Tokenizer.from_file(FILE), random.Random(8)
+    for _ in range(400):
+        text = "".join(rnd.choice([" ", "\n", "\t", "\r", "\xa0", "\u3000", "\n\n", "    "]) * rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 40)))
+        assert own.merge_long(text.encode()) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_their_library(tmp_path):
+    spec = json.loads(tokenizers.Tokenizer.from_file(FILE).to_str())
+    changed = []
+    for key, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {**spec["pre_tokenizer"], "add_prefix_space": True}), ("model", {**spec["model"], "ignore_merges": True}), ("truncation", {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0})):
+        file = tmp_path / f"{key}.json"
+        file.write_text(json.dumps(spec | {key: value}))
+        own, library = IdEncoder(str(file)), tokenizers.Tokenizer.from_file(str(file))
+        library.no_truncation()
+        changed.append(own.fast)
+        for text in ("Hello World  again", "a<|endoftext|>b", ""):
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert changed == [False, False, False, True]
+    words = public_tokenizers.path("word_bpe_49k.json")
+    own, library = IdEncoder(words), tokenizers.Tokenizer.from_file(words)
+    assert not own.fast and own.encode("Hello  World") == library.encode("Hello  World", add_special_tokens=False).ids
+
+
 def test_plan_holds_every_document_once():
     rnd = np.random.default_rng(6)
     for size, n in ((10, 50), (100, 400), (2048, 3000), (2048, 1), (7, 0)):

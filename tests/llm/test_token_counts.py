@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from graphloom.llm.token_counts import PrefixCounter, prefix_tables, token_counts
 
@@ -47,3 +48,22 @@ def test_rows_as_they_come(spark):
     tables = {r.doc_id: r.prefix_counts for r in prefix_tables(docs.where("doc_id < 3"), MODEL).collect()}
     assert tables[2] == [0] and tables[1][-1] == len(library.encode("Hello world"))
     assert token_counts(docs.limit(0), MODEL).count() == 0
+
+
+def test_models_that_do_more_are_refused(tmp_path):
+    model = pytest.importorskip("sentencepiece.sentencepiece_model_pb2").ModelProto()
+    for change in ("white space", "lower case", "user's pieces"):
+        with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+            model.ParseFromString(f.read())
+        if change == "white space":
+            model.normalizer_spec.remove_extra_whitespaces = True
+        elif change == "lower case":
+            model.normalizer_spec.name = "nmt_nfkc"
+            model.normalizer_spec.add_dummy_prefix = False
+            model.normalizer_spec.remove_extra_whitespaces = True
+        else:
+            model.pieces[31990].type, model.pieces[31990].piece, model.pieces[31990].score = 4, "thing of it", 0
+        file = tmp_path / "changed.model"
+        file.write_bytes(model.SerializeToString())
+        with pytest.raises(ValueError):
+            PrefixCounter(str(file))
