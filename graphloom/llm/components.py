@@ -7,39 +7,52 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.scratch import Scratch
 
+#: Parts into which the links of one vertex are dealt, for a star's centre may have a third of all links.
+SALTS = 8
+
 
 def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): each linked id with the smallest id that it can reach.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each replaces links by links to the smallest
     neighbour, which takes a number of rounds that grows with the logarithm of a component's size, whatever its shape.
-    Every step is an aggregation with partial sums and an equi-join that adaptive execution may split, so a
-    vertex with many links is no bottleneck. Empty input gives no rows; self-links count for nothing.
+    Every step is an aggregation with partial sums and an equi-join in which a vertex's links are dealt to SALTS parts, so a
+    vertex with many links is no bottleneck. A round that changes nothing ends it; what the rounds hold is told apart by their
+    number of links and two 64-bit sums. Empty input gives no rows; self-links count for nothing.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = scratch.table(edges)
-    while True:
-        large = _large_star(edges)
-        small = scratch.table(_small_star(large))
-        same = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
+    held = _sum(edges)
+    while held[0]:
+        small = scratch.table(_small_star(_large_star(edges)))
         scratch.drop(edges)
-        edges = small
-        if same:
+        edges, before, held = small, held, _sum(small)
+        if held == before:
             break
     roots = edges.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _sum(edges: DataFrame) -> tuple:
+    """What tells two sets of distinct links apart, in one row."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit("again")))).first())
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with their u's m of least(u, m)."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["u", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u is linked to the least of u and u's neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return larger.where("u != v").distinct()
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u (the larger end) and its smaller neighbours are linked to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -62,7 +62,7 @@ def test_models_that_do_more_are_refused(tmp_path):
             model.normalizer_spec.add_dummy_prefix = False
             model.normalizer_spec.remove_extra_whitespaces = True
         else:
-            model.pieces[31990].type, model.pieces[31990].piece, model.pieces[31990].score = 4, "thing of it", 0
+            model.pieces[31990].type, model.pieces[31990].piece, model.pieces[31990].score = 4, "zqxj", 0
         file = tmp_path / "changed.model"
         file.write_bytes(model.SerializeToString())
         with pytest.raises(ValueError):
