@@ -3,8 +3,8 @@
 A source's target, in words, is its share of the mix by weight; no source gives more than `most` times its size, and
 what it cannot give goes to the others by weight. A document's expected copies are target / source size, times its
 preference if there is one: the whole part is certain, the rest is its inclusion odds. Documents are ranked by
-random odds over inclusion odds (Pareto order sampling) and taken in that order until the source's
-target is reached. Only DataFrame operations; the random numbers are digests of doc_id, so reruns agree.
+random odds over inclusion odds (Pareto order sampling) and taken in that order until none fits into what the source's target
+leaves. Only DataFrame operations; the random numbers are digests of doc_id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from graphloom.llm.scratch import Scratch
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Buckets of the Pareto order for each source: running totals inside a bucket, and over the buckets' sums.
 BUCKETS = 4096
-#: Passes over what is left: each takes, in order, documents that still fit.
-PASSES = 3
 
 
 def uniform(key: Column) -> Column:
@@ -70,14 +68,12 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     u = uniform(F.col("id"))
     rank = F.when(odds > 0, (u / (1 - u)) / (odds / (1 - odds)))
     rows = rows.select("id", "text_hash", "key", "size", "source_size", "target", whole.alias("copies"), rank.alias("rank"))
-    # buckets follow the order and are about even: at the source's own odds the scaled rank is u / (1 - u); rows without a rank are dealt anywhere
+    # buckets follow the order and are about even: at the source's own odds the scaled rank is u / (1 - u)
     level = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     usual = F.least(F.greatest(level - F.floor(level), F.lit(1e-9)), F.lit(1 - 1e-9))
     scaled = F.col("rank") * usual / (1 - usual)
-    at = F.when(scaled.isNotNull(), F.least(F.lit(BUCKETS - 1), F.floor(scaled / (1 + scaled) * BUCKETS)))
-    rows = rows.withColumn("bucket", F.coalesce(at, -1 - F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).cast("int"))
-    for _ in range(PASSES):
-        rows = _take_in_order(scratch.table(rows), most, scratch)
+    rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(scaled / (1 + scaled) * BUCKETS)).cast("int"))
+    rows = _fill(scratch.table(rows), scratch)
     nth = F.row_number().over(Window.partitionBy("id", "text_hash", "key").orderBy(F.desc("copies")))
     out = rows.select(F.col("id").alias("doc_id"), "text_hash", F.col("key").alias("source_key"), nth.alias("nth"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     out = scratch.table(out)
@@ -87,19 +83,18 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
 
 
 def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: int = 2, preference: str | None = None) -> DataFrame:
-    """The mix itself: each row of docs as often as the plan takes it, with the columns of docs."""
-    plan = mix_plan(docs, weights, share, most, preference).where("copies > 0")
-    name = F.xxhash64("doc_id", "text_hash", "source_key")
-    plan = plan.select(name.alias("at"), *(F.col(c).alias(f"of_{c}") for c in ("doc_id", "text_hash", "source_key", "nth")), "copies")
+    """The mix itself: each row of docs as often as the plan takes it, with the columns of docs.
+
+    Rows that are equal in doc_id, text and source are numbered, and the plan says of how many of them it takes a first, second, ... copy. So rows
+    and plan meet by one key, a digest, with one row of the plan for each; texts are dealt out once.
+    """
+    name = lambda key: F.md5(F.to_json(F.struct(F.col("doc_id"), F.col("text_hash"), F.col(key).alias("key"))))
+    plan = mix_plan(docs, weights, share, most, preference).groupBy(name("source_key").alias("at")).agg(F.array(*(F.count_if(F.col("copies") >= j) for j in range(1, most + 1))).alias("firsts"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _source_key().alias("source_key"))
-    rows = rows.withColumn("at", name).repartition("at")  # texts are dealt out once, for the numbers and for the join
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("at", "doc_id", "text_hash", "source_key").orderBy("text_hash")))
-    apart = F.concat_ws("|", F.col("nth") - F.col("of_nth"), F.col("text_hash").bitwiseXOR(F.col("of_text_hash")))
-    same = (apart == "0|0") & (F.col("source_key") <= F.col("of_source_key")) & (F.col("source_key") >= F.col("of_source_key"))
-    one, other = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "of_doc_id"))
-    same &= (one <= other) & (one >= other)  # no further keys of the join, which would deal the texts out again
-    found = rows.join(plan, "at").where(same)
+    rows = docs.select(row, F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _source_key().alias("key")).select("row", name("key").alias("at"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.lit(0))))
+    copies = F.size(F.filter("firsts", lambda n: n >= F.col("nth")))
+    found = rows.join(plan.where("firsts[0] > 0"), "at").select("row", copies.alias("copies")).where("copies > 0")
     return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
@@ -107,17 +102,28 @@ def _source_key() -> Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
 
 
-def _take_in_order(rows: DataFrame, most: int, scratch: Scratch) -> DataFrame:
-    """One pass: of the documents not ranked out yet that fit into what the source still lacks, the first ones in order."""
-    lacking = rows.groupBy("key").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("has")).select("key", (F.col("t") - F.col("has")).alias("room"))
-    rows = rows.join(scratch.table(lacking), "key")  # a row for each source, of known size: no row of documents is dealt by its source
-    open_ = F.col("rank").isNotNull() & (F.col("size") <= F.col("room")) & (F.col("copies") < most)
-    mark = rows.withColumn("fits", F.when(open_, F.col("size")))
-    sums = mark.where("fits IS NOT NULL").groupBy("key", "bucket").agg(F.sum("fits").alias("in_bucket"))
-    sums = scratch.table(sums)  # summed where (key, bucket) meet, so that a source's task gets a row for each bucket and no more
-    before = F.sum("in_bucket").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("key", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("fits").over(Window.partitionBy("key", "bucket").orderBy(F.col("fits").isNull(), "rank", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = mark.withColumn("inside", inside).join(sums, ["key", "bucket"], "left")
-    taken = F.col("fits").isNotNull() & (F.col("before") + F.col("inside") <= F.col("room"))
-    return ranked.select("id", "text_hash", "key", "size", "source_size", "target", (F.col("copies") + taken.cast("int")).alias("copies"), F.when(~taken, F.col("rank")).alias("rank"), "bucket")
+def _fill(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows after every source has taken, in order, documents that fit into what it lacks, until none does.
+
+    A pass takes the first ones in order as long as their sizes fit together; those larger than what is left then are out, the others meet again.
+    The first that fits is always taken, so passes end; a pass is over what the one before it left open.
+    """
+    room = rows.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room"))
+    columns = ["id", "text_hash", "key", "size", "source_size", "target", "copies"]
+    out, open_ = rows.where("rank IS NULL").select(*columns), rows.where("rank IS NOT NULL")
+    while True:
+        room = scratch.table(room)  # a row for each source, of known size: no row of documents is dealt by its source
+        asked = open_.join(room, "key")
+        fits = F.col("size") <= F.col("room")
+        sums = scratch.table(asked.where(fits).groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket")))  # a source's task gets a row for each bucket and no more
+        if sums.isEmpty():
+            return out.unionByName(open_.select(*columns))
+        before = F.sum("in_bucket").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.select("key", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+        inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("rank", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = asked.where(fits).withColumn("inside", inside).join(sums, ["key", "bucket"])
+        ranked = scratch.table(ranked.select(*columns, "rank", "bucket", (F.col("before") + F.col("inside") <= F.col("room")).alias("taken")))
+        out = out.unionByName(asked.where(~fits).select(*columns)).unionByName(ranked.where("taken").withColumn("copies", F.col("copies") + 1).select(*columns))
+        spent = ranked.where("taken").groupBy("key").agg(F.sum("size").alias("spent"))
+        room = room.join(spent, "key", "left").select("key", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room"))
+        open_ = ranked.where("NOT taken").drop("taken")

@@ -31,12 +31,16 @@ FROM payloads
 """
 
 
+#: The operator goes on until nothing fits; here as many passes are written out, of which the last ones change nothing (a test counts).
+_PASSES = 24
+
+
 def _pass(rows: str, out: str) -> str:
     """One pass of taking documents in order that still fit, as CTEs named after `out`."""
     return f"""
-room_{out} AS (SELECT k, any_value(target) - sum(copies * size) AS room FROM {rows} GROUP BY k),
-open_{out} AS (SELECT r.*, room, rank IS NOT NULL AND size <= room AND copies < 2 AS fits FROM {rows} r JOIN room_{out} USING (k)),
-{out} AS (SELECT doc_id, k, size, source_size, target, copies + taken::INT AS copies, CASE WHEN NOT taken THEN rank END AS rank FROM (
+room_{out} AS MATERIALIZED (SELECT k, any_value(target) - sum(copies * size) AS room FROM {rows} GROUP BY k),
+open_{out} AS MATERIALIZED (SELECT r.*, room, rank IS NOT NULL AND size <= room AND copies < 2 AS fits FROM {rows} r JOIN room_{out} USING (k)),
+{out} AS MATERIALIZED (SELECT doc_id, k, size, source_size, target, copies + taken::INT AS copies, CASE WHEN NOT taken THEN rank END AS rank FROM (
   SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY k ORDER BY NOT fits, rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= room AS taken FROM open_{out}))"""
 
 
@@ -50,8 +54,8 @@ targets AS (SELECT k, source_size, coalesce(least(top, (SELECT c FROM common) *
 odds AS (SELECT doc_id, k, size, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target * 1.0::DOUBLE / source_size::DOUBLE) ELSE 0.0::DOUBLE END AS expected,
   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM docs JOIN targets USING (k)),
 start AS (SELECT doc_id, k, size, source_size, target, floor(expected)::INT AS copies, CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS rank FROM odds),
-{_pass("start", "p1")}, {_pass("p1", "p2")}, {_pass("p2", "p3")}
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM p3
+{", ".join(_pass(f"p{i}" if i else "start", f"p{i + 1}") for i in range(_PASSES))}
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM p{_PASSES}
 """
 
 URL_FILTERS = r"""

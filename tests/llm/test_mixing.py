@@ -44,11 +44,34 @@ def test_each_source_comes_near_its_target(spark):
 
 
 def test_preference_changes_the_odds(spark):
-    d = docs(spark).where("source = 'a' AND size > 0 AND doc_id IS NOT NULL OR source = 'b'")
-    plan = mix_plan(d, weights=[1, 3], share=0.5, preference="liking").join(d.select("doc_id", "liking").distinct(), "doc_id").collect()
-    low = [r.copies for r in plan if r.liking == 1.0 and r.source_key == "sa"]
-    high = [r.copies for r in plan if r.liking == 4.0 and r.source_key == "sa"]
-    assert not low or not high or sum(high) / len(high) > sum(low) / len(low)
+    rows = [(i, "w " * 20, "ab"[i % 2], 1.0 + 3 * (i // 2 % 2)) for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, liking double")
+    plan = mix_plan(d, weights=[1, 3], share=0.5, preference="liking").collect()
+    mean = lambda source, liking: sum(r.copies for r in plan if r.source_key == source and rows[r.doc_id][3] == liking) / 200
+    for source, target in (("sa", 0.25), ("sb", 0.75)):  # a target of so many copies each; odds of 1 to 4
+        low, high = mean(source, 1.0), mean(source, 4.0)
+        assert abs((low + high) / 2 - target) < 0.01 and abs(low - target * 0.4) < 0.08 and high > 2 * low
+
+
+def test_nothing_is_left_that_fits(spark):
+    """Sizes from 1 to 400: after the last pass no document of a source fits into what it lacks."""
+    d = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 400), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    rows = mix_plan(d).collect()
+    for key in {r.source_key for r in rows}:
+        own = [r for r in rows if r.source_key == key]
+        lack = own[0].target - sum(r.taken for r in own)
+        more = int(own[0].target / own[0].source_size) + (own[0].target % own[0].source_size > 0)  # copies that the odds allow
+        assert lack >= 0 and not [r for r in own if r.copies < more and r.size <= lack]
+
+
+def test_equal_rows_are_told_apart_by_number(spark):
+    """100,000 equal rows without id: each is in the mix as often as its number says, by a join that grows with the rows, not with their square."""
+    d = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text", "'a' AS source", "id % 7 AS extra")
+    d = d.unionByName(spark.range(50_000).selectExpr("id AS doc_id", "'one two three' AS text", "'b' AS source", "0L AS extra"))
+    plan = {(r.source_key, r.copies): r["count"] for r in mix_plan(d).groupBy("source_key", "copies").count().collect()}
+    mixed = {r.source: r["count"] for r in mix_sources(d).groupBy("source").count().collect()}
+    assert mixed == {s: sum(n * c for (k, c), n in plan.items() if k == "s" + s) for s in "ab"}
+    assert abs(mixed["a"] - 168_750) <= 1 and abs(mixed["b"] - 56_250) <= 1
 
 
 def test_the_mix_repeats_whole_rows(spark):
