@@ -61,7 +61,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 URL_FILTERS = r"""
 WITH base AS (
   SELECT page_id, make_timestamp((1704067200 + page_id * 104729 % 31536000) * 1000000) AS fetched_at,
-    regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.+$', '') AS host,
+    regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]*)', 1), '\.+$', '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1) AS raw FROM pages
 ), captures AS (SELECT page_id, fetched_at, coalesce(host, '') AS host, CASE WHEN coalesce(raw, '') = '' THEN '/' ELSE raw END AS path FROM base),
 hosts AS (SELECT DISTINCT host, (length(host) + ascii(substr(host, 3, 1))) % 4 AS k, (ascii(substr(host, 2, 1)) * 7 + length(host)) % 200 AS s, regexp_replace(host, '^[^.]+\.', '') AS parent FROM captures WHERE host <> ''),
@@ -75,9 +75,9 @@ changes AS (
 ), spans AS (
   SELECT kind, pattern, action, make_timestamp((1704067200 + 86400 * day) * 1000000) AS valid_from,
     coalesce(make_timestamp((1704067200 + 86400 * lead(day) OVER (PARTITION BY kind, pattern ORDER BY day)) * 1000000), TIMESTAMP '9999-12-31') AS valid_to FROM changes
-), parts AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM captures WHERE host <> ''),
+), parts AS (SELECT *, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] ELSE string_split(host, '.') END AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM captures WHERE host <> ''),
 keys AS (
-  SELECT page_id, fetched_at, 2 AS o, i AS depth, 'prefix' AS kind, lower(host || '/' || array_to_string(p[1:i], '/')) AS pattern FROM (SELECT *, unnest(range(0, len(p) + 1)) AS i FROM parts)
+  SELECT page_id, fetched_at, 2 AS o, i AS depth, 'prefix' AS kind, host || '/' || array_to_string(p[1:i], '/') AS pattern FROM (SELECT *, unnest(range(0, len(p) + 1)) AS i FROM parts)
   UNION ALL SELECT page_id, fetched_at, 1, 0, 'host', host FROM parts
   UNION ALL SELECT page_id, fetched_at, 0, i, 'domain', array_to_string(l[len(l) - i + 1 :], '.') FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM parts)
 ), met AS (SELECT k.*, s.action FROM keys k JOIN spans s ON s.kind = k.kind AND s.pattern = k.pattern AND s.action <> 'remove' AND fetched_at >= valid_from AND fetched_at < valid_to),

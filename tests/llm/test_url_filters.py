@@ -8,20 +8,22 @@ def at(day):
     return datetime(2024, 1, 1) + timedelta(days=day)
 
 
-CHANGES = [("host", "a.example.com", "block", at(10)), ("host", "a.example.com", "remove", at(50)), ("host", "a.example.com", "allow", at(300)), ("domain", "Example.com", "block", at(20)), ("domain", "com", "allow", at(0)), ("prefix", "b.example.com/x/y", "block", at(0)), ("prefix", "b.example.com/x", "allow", at(5)), ("host", "a.example.com", "block", at(10)), ("host", None, "block", at(1)), ("odd", "a", "block", at(1)), ("prefix", "b.example.com/", "block", at(700))]
-URLS = ["http://a.example.com/x", "https://user:p@B.example.com.:8080/x/y/z?q#f", "http://b.example.com/x/yy", "http://example.com", "http://other.com/", "ftp://x.org/a", "nonsense", None, ""]
+CHANGES = [("host", "a.example.com", "block", at(10)), ("host", "a.example.com", "remove", at(50)), ("host", "a.example.com", "allow", at(300)), ("domain", "Example.com", "block", at(20)), ("domain", "com", "allow", at(0)), ("prefix", "b.example.com/x/y", "block", at(0)), ("prefix", "b.example.com/x", "allow", at(5)), ("host", "a.example.com", "block", at(10)), ("host", None, "block", at(1)), ("odd", "a", "block", at(1)), ("prefix", "b.example.com/", "block", at(700)), ("host", "[::1]", "block", at(3)), ("prefix", "[::1]/Login", "allow", at(6)), ("prefix", "[::1]/login", "block", at(7)), ("domain", "0.0.1", "block", at(1)), ("domain", "[2001:db8::1]", "block", at(2)), ("host", "10.0.0.1", "block", at(9)), ("domain", "4]", "block", at(1)), ("prefix", "b.example.com/X", "block", at(19))]
+URLS = ["http://a.example.com/x", "https://user:p@B.example.com.:8080/x/y/z?q#f", "http://b.example.com/x/yy", "http://example.com", "http://other.com/", "ftp://x.org/a", "nonsense", None, "", "http://[::1]:80/Login", "http://u@v@[2001:DB8::1]/", "http://10.0.0.1/x", "http://b.example.com/X/y", "http://[::ffff:1.2.3.4]/", "//b.example.com/x", "HTTP://B.EXAMPLE.COM/x/y/Z", "http://b.example.com:/x//y", "http://b.example.com?x/y", "http:///x", "http://a.example.com..:1/"]
 
 
 def expected(url, when, changes):
     state = {}
     for kind, pattern, action, t in sorted((c for c in changes if all(c) and c[0] != "odd"), key=lambda c: c[3]):
         if t <= when:
-            state[kind, pattern.lower()] = action
+            state[kind, pattern if kind == "prefix" else pattern.lower()] = action
     parts = urlsplit(url or "")
     host = (parts.hostname or "").rstrip(".")
-    if not host:
+    if not host or not parts.scheme:
         return 0, "none"
-    keys, labels, path = [], host.split("."), [p for p in parts.path.split("/") if p]
+    address = ":" in host or not host.strip("0123456789.")
+    host = f"[{host}]" if ":" in host else host
+    keys, labels, path = [], [host] if address else host.split("."), [p for p in parts.path.split("/") if p]
     keys += [("prefix", host + "/" + "/".join(path[:i])) for i in range(len(path), -1, -1)]
     keys += [("host", host)] + [("domain", ".".join(labels[i:])) for i in range(len(labels))]
     met = [state[k] for k in keys if state.get(k, "remove") != "remove"]
@@ -44,7 +46,7 @@ def test_as_of_join(spark):
 
 def test_intervals_end_with_the_next_change(spark):
     changes = spark.createDataFrame(CHANGES, "kind string, pattern string, action string, changed_at timestamp")
-    spans = [(r.valid_from, r.valid_to, r.action) for r in validity_intervals(changes).where("kind = 'host'").orderBy("valid_from").collect()]
+    spans = [(r.valid_from, r.valid_to, r.action) for r in validity_intervals(changes).where("kind = 'host' AND pattern = 'a.example.com'").orderBy("valid_from").collect()]
     assert spans[0] == (at(10), at(50), "block") and spans[1][0] == at(300) and len(spans) == 2
 
 
