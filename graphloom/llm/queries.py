@@ -41,6 +41,7 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are 0 and 1; grade 2 is made of the toxic rows that a first fit finds worst, so its threshold says what the model itself ranks, not what a label says."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("toxic", "grade")
     return toxicity(table(spark, sf_dir, "documents"), labels)
 
@@ -80,6 +81,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors are indexed, but for those that are null, zero, not finite throughout or (all have 64 numbers here) of another length than most."""
     return search(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
 
 

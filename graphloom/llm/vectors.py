@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.batches import slices
 from graphloom.llm.scratch import Scratch
 
 #: Vectors the tree is fitted on, and queries it is calibrated with, at most.
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 200
 #: Children of a node, vectors of a leaf aimed at, leaves at most (the tree is broadcast).
 BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 200, 4096
-#: Vectors and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+#: Vectors and queries of one block, and queries that are multiplied with a block's vectors at once.
+BLOCK_ROWS, BLOCK_QUERIES, TOGETHER = 4096, 4096, 512
 
 
 @dataclass
@@ -111,17 +112,20 @@ def fit_tree(sample: np.ndarray, rows: int, seed: int = 3) -> Tree:
     return Tree(np.array(centres), children, leaf)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row: largest score, then smallest id. ids must ascend."""
-    if scores.shape[1] > 4 * k:
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        return [np.flatnonzero(row >= e)[np.argsort(-row[row >= e], kind="stable")[:k]] for row, e in zip(scores, edge, strict=True)]
-    return list(np.argsort(-scores, axis=1, kind="stable")[:, :k])
+def _best(scores: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, score) of each query's k best: largest score, then smallest id; -inf takes no part.
 
-
-def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products summed in one fixed way, so that equal vectors have equal scores wherever they lie."""
-    return (vectors * query).sum(axis=1)
+    `scores` are products of matrices, right but for rounding: whatever may reach the k-th place within that error is scored again, summed
+    in one fixed way, so that equal vectors have equal scores wherever they lie and no tie is lost.
+    """
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    slack = 4 * vectors.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max(initial=0.0)
+    i, j = np.nonzero((scores >= (edge - 2 * slack)[:, None]) & (scores > -np.inf))
+    exact = np.concatenate([(vectors[j[at : at + 65_536]] * queries[i[at : at + 65_536]]).sum(axis=1) for at in range(0, len(i), 65_536)] or [np.empty(0)])
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], exact[place < k]
 
 
 def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -177,23 +181,22 @@ def _compare(placed: DataFrame, asks: DataFrame, tree: Tree, visits: int, k: int
         ask = table.column("ask").to_numpy()
         ids, x = table.column("id").to_numpy(), _stack(table.column("x"))
         lists = table.column("leaves").combine_chunks()
+        values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        rows, asked = np.flatnonzero(~ask), np.flatnonzero(ask)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if ask.any() and not ask.all():
-            rows = np.flatnonzero(~ask)[np.argsort(ids[~ask], kind="stable")]
-            reps, vectors = ids[rows], x[rows]
-            leaf = lists.take(pa.array(rows)).flatten().to_numpy()
-            low = int(leaf.min())
-            open_ = np.zeros(int(leaf.max()) - low + 1, dtype=bool)
-            for i in np.flatnonzero(ask):
-                wanted = np.array(lists[int(i)].as_py()) - low
-                open_[:] = False
-                open_[wanted[(wanted >= 0) & (wanted < len(open_))]] = True
-                here = np.flatnonzero(open_[leaf - low])
-                if len(here):
-                    places = here[_best((vectors[here] @ x[i])[None, :], reps[here], k + 8)[0]]
-                    scores = _exact(vectors[places], x[i])
-                    top = np.lexsort((reps[places], -scores))[: k + 1]
-                    found.append((np.full(len(top), ids[i]), reps[places][top], scores[top]))
+        if len(rows):
+            reps, vectors, leaf = ids[rows], x[rows], values[starts[rows]]
+            low, high = int(leaf.min()), int(leaf.max())
+            for at in range(0, len(asked), TOGETHER):
+                some = asked[at : at + TOGETHER]
+                wanted = np.concatenate([values[starts[i] : starts[i + 1]] for i in some])
+                who = np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])
+                here = (wanted >= low) & (wanted <= high)
+                visited = np.zeros((len(some), high - low + 1), dtype=bool)
+                visited[who[here], wanted[here] - low] = True
+                scores = np.where(visited[:, leaf - low], x[some] @ vectors.T, -np.inf)
+                i, j, score = _best(scores, x[some], vectors, reps, k + 1)
+                found.append((ids[some[i]], reps[j], score))
         a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
         return pa.table({"query_id": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
@@ -219,15 +222,18 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
     sound = F.size(x) > 0
     sound &= ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(x, lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = scratch.table(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
+        scratch.close()
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == lengths[0]["n"])
-    # a class for each distinct vector; the rank limit keeps a hot class small before it is shuffled
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    classes = scratch.table(first.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    held, rows = rows, rows.where(F.size("v") == lengths[0]["n"])
+    # a class for each distinct vector, found by 128 bits of it; the rank limit keeps a hot class small before it is shuffled
+    named = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit("again")).alias("h2"))
+    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    classes = scratch.table(first.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")).drop("h1", "h2"))
     asks = scratch.table(rows.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    scratch.drop(held)
     n = classes.count()
     part = lambda key, most, of: F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, of)))
     sample = classes.where(part("rep", FIT_ROWS, n)).select("rep", "v").toPandas().sort_values("rep")  # about FIT_ROWS rows
@@ -251,7 +257,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
 
 
 def _calibrate(placed: DataFrame, asks: DataFrame, tree: Tree, part, k: int, recall: float) -> int:
-    """Leaves to visit: the smallest power-of-1.25 number that finds `recall` of the sampled queries' true neighbours."""
+    """Leaves to visit: the smallest power-of-1.25 number that finds `recall` of the sampled queries' true neighbours, themselves left out."""
     if tree.leaves <= 1:
         return 1
     queries = asks.where(part("query_id", CALIBRATION_QUERIES, asks.count())).select("query_id", "q").toPandas().sort_values("query_id")
@@ -262,15 +268,16 @@ def _calibrate(placed: DataFrame, asks: DataFrame, tree: Tree, part, k: int, rec
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            reps, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            scores = q @ _stack(batch.column(1)).T
-            for i, places in enumerate(_best(scores, reps, k + 1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), ids[i])), pa.array(reps[places]), pa.array(scores[i, places]), pa.array(leaf[places], pa.int32())], ["query_id", "rep", "score", "leaf"])
-
-    truth = _top(placed.select("rep", "v", "leaf").mapInArrow(scan, "query_id long, rep long, score double, leaf int"), k + 1).toPandas()  # k + 1 rows for each sampled query
+        for batch in slices(batches, BLOCK_ROWS):
+            reps, leaf, vectors = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _stack(batch.column(1))
+            i, j, score = _best(q @ vectors.T, q, vectors, reps, k + 1)
+            other = (vectors[j] != q[i]).any(axis=1)  # a query and its equals lie in its own leaf and say nothing of the others
+            i, j, score = i[other], j[other], score[other]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(reps[j], pa.int64()), pa.array(score, pa.float64()), pa.array(leaf[j], pa.int32())], ["query_id", "rep", "score", "leaf"])
+
+    truth = _top(placed.select("rep", "v", "leaf").mapInArrow(scan, "query_id long, rep long, score double, leaf int"), k).toPandas()  # k rows for each sampled query
+    if not len(truth):
+        return tree.leaves
     where = {query_id: np.argsort(tree.visits(vector, tree.leaves)) for query_id, vector in zip(ids, q, strict=True)}
     needed = np.sort([where[a][b] + 1 for a, b in zip(truth["query_id"], truth["leaf"], strict=True)])
     visits = 1

@@ -56,3 +56,17 @@ def test_leaves_are_visited_once_each():
     assert sorted(order) == list(range(tree.leaves)) and tree.leaves > 50
     assert tree.visits(x[0], 5) == order[:5]
     assert set(tree.assign(x)) <= set(range(tree.leaves))
+
+
+def test_many_ties(spark, monkeypatch):
+    """60 different vectors of one score: the smaller ids win, in blocks of whatever size."""
+    monkeypatch.setattr(module, "LEAF_ROWS", 30)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 37)
+    rnd = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(1 + i, [0.5, *rnd.normal(size=3).tolist()]) for i in rnd.permutation(60).tolist()] + [(100 + i, [0.25, *rnd.normal(size=3).tolist()]) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in search(d, recall=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found[0] == [(i, 0.5) for i in range(1, 21)]
+    assert found == {q: best for q, best in brute(rows).items()}
