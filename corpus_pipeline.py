@@ -21,27 +21,38 @@ from graphloom.session import table, workers_find_package
 LEAST_LANGUAGE = 0.3
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, made longer until it is no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those without a letter, and those like no language, go."""
     model = fit_language_model(docs.where(~held_out()))
-    told = identify(docs, model, column="_language")
-    return told.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    name = _free(docs, "_language")
+    told = identify(docs, model, column=name)
+    return told.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE)).drop(name)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity is more likely grade 0 than any higher one."""
     model = fit_severity(docs, table(spark, sf_dir, "labels").withColumnRenamed("toxic", "grade"))
-    return severity(docs, model, "_severity").where(~F.col("_severity.toxic")).select(*docs.columns)
+    name = _free(docs, "_severity")
+    return severity(docs, model, name).where(~F.col(f"{name}.toxic")).drop(name)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (shingles of five words, similarity 0.8 or more), that of the smallest id.
 
-    Of rows that repeat an id one stays; rows without id belong to no group and stay.
+    Of rows that repeat an id and its text one stays; different texts of one id stay, as far as their id does. Rows without id belong to no group and stay.
     """
     kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    name = _free(docs, "_text")
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").withColumn(name, F.sha2(F.col("text"), 256))
+    return named.dropDuplicates(["doc_id", name]).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
