@@ -1,5 +1,6 @@
 import hashlib
 import io
+import os
 import random
 import re
 import time
@@ -17,7 +18,7 @@ from graphloom.plans.catalogue import QUERIES
 from graphloom.plans.ingest import document_rows, report_lines, report_totals, simple_rows, simple_sentences
 from graphloom.plans.narration import narrate, path_lines, prompts
 from graphloom.sources.documents import flat_texts, parse_file, parse_html, parse_markdown, read_documents, read_folder, sectionise_blocks
-from graphloom.streaming.watch import Watcher, debounce, file_stream
+from graphloom.streaming.watch import Watcher, debounce, debounce_stream, list_files
 from pyspark.sql import functions as F
 
 PROSE = "Solar panels convert light because photons move electrons. However, clouds reduce output! Is it enough? Yes. "
@@ -236,40 +237,89 @@ def test_debounce(spark):
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
 
 
+def test_debounce_of_a_stream(spark, tmp_path):
+    """The same events in three batches: the rule of the batch form, and what comes late lies inside the pause."""
+    base = datetime(2024, 1, 1)
+    events = [(k, base + timedelta(seconds=n)) for k, n in (("a", 0), ("a", 4), ("b", 1), ("a", 9), ("a", 10), ("a", 19), ("b", 30), ("a", 21), ("b", 39), ("b", 41), ("a", 100))]
+    for i in range(3):
+        part = spark.createDataFrame(events[4 * i : 4 * i + 4], "path string, ts timestamp").coalesce(1)
+        part.write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        file = next((tmp_path / str(i)).glob("*.parquet"))
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = debounce_stream(stream, 10).writeStream.format("memory").queryName("debounced").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    found = sorted(map(tuple, spark.table("debounced").collect()))
+    assert found == sorted(map(tuple, debounce(spark.createDataFrame(events, "path string, ts timestamp"), 10).collect()))
+    assert [(k, (t - base).seconds) for k, t in found] == [("a", 0), ("a", 10), ("a", 21), ("a", 100), ("b", 1), ("b", 30), ("b", 41)]
+
+
 def test_watcher(spark, tmp_path):
     folder, taken = tmp_path / "in", []
+    words = " document that is certainly long enough to be taken in."
     with pytest.raises(ValueError):
-        file_stream(spark, str(folder))
+        list_files(spark, str(folder))
     folder.mkdir()
-    (folder / "one.txt").write_text("A first document that is certainly long enough to be taken in.")
+    (folder / "one.txt").write_text("A first" + words)
     (folder / "short.txt").write_text("short")
     (folder / "skip.xyz").write_text("x" * 100)
 
     def ingest(documents):
-        taken.extend(r.path.rsplit("/", 1)[1] for r in documents.collect())
-        if "bad.txt" in taken:
+        new = [(r.path.rsplit("/", 1)[1], r.raw_text) for r in documents.collect()]
+        taken.extend(new)
+        if "bad.txt" in dict(new):
             raise RuntimeError("no")
 
-    def run():
-        return Watcher(spark, str(folder), str(tmp_path / "state"), ingest, trigger="0 seconds").start()
+    def run(seconds):
+        return Watcher(spark, str(folder), str(tmp_path / "state"), ingest, seconds=seconds, trigger="0 seconds").start()
 
-    w = run()
+    w = run(0)
     try:
         w.drain()
-        (folder / "two.md").write_text("# Two\n\nA second document that is certainly long enough to be taken in.")
-        time.sleep(1.1)
+        assert [n for n, _ in taken] == ["one.txt"] and w.stats() == {"ingested": 1, "failed": 1, "batches": 1, "waiting": 0}
+        (folder / "two.md").write_text("# Two\n\nA second" + words)
+        (tmp_path / "old [1].txt").write_text("An old" + words)
+        os.utime(tmp_path / "old [1].txt", (1000, 1000))
+        (tmp_path / "old [1].txt").rename(folder / "old [1].txt")  # moved in, with a time long past
+        w.drain()
+        assert sorted(n for n, _ in taken) == ["old [1].txt", "one.txt", "two.md"] and w.is_alive()
+        (folder / "one.txt").write_text("A changed first" + words)  # changed in place
+        (folder / "short.txt").write_text("No longer short, this" + words)
         w.drain()
-        assert sorted(taken) == ["one.txt", "two.md"] and w.is_alive()
-        assert w.stats()["ingested"] == 2 and w.stats()["failed"] == 1
+        assert taken[3:] and sorted(taken[3:]) == [("one.txt", "A changed first" + words), ("short.txt", "No longer short, this" + words)]
+        assert w.stats()["ingested"] == 5 and w.stats()["failed"] == 1
     finally:
         w.stop()
     assert not w.is_alive()
-    w = run()  # goes on from its checkpoint
+    w = run(0)  # goes on from its table
     try:
         (folder / "bad.txt").write_text("A third document, which the session cannot take in for some reason.")
-        time.sleep(1.1)
         w.drain()
-        assert taken.count("one.txt") == 1 and w.is_alive() and w.stats()["ingested"] == 0 or w.stats()["failed"] >= 1
+        assert [n for n, _ in taken].count("one.txt") == 2 and w.is_alive() and w.stats() == {"ingested": 0, "failed": 1, "batches": 1, "waiting": 0}
     finally:
         w.stop()
     assert Config().debounce_seconds == 10
+
+
+def test_changes_within_the_pause_wait(spark, tmp_path):
+    folder, taken = tmp_path / "in", []
+    folder.mkdir()
+    words = " document that is certainly long enough to be taken in."
+    w = Watcher(spark, str(folder), str(tmp_path / "state"), lambda d: taken.extend(r.raw_text for r in d.collect()), seconds=15, trigger="0 seconds").start()
+    try:
+        (folder / "a.txt").write_text("One" + words)
+        w.drain()
+        began = time.time()
+        for n in ("Two", "Three"):
+            (folder / "a.txt").write_text(n + words)
+            time.sleep(2)
+        assert taken == ["One" + words] and time.time() - began < 14
+        w.drain()  # the pause ends, and the last state of the file is read, once
+        assert taken == ["One" + words, "Three" + words] and w.stats() == {"ingested": 2, "failed": 0, "batches": 2, "waiting": 0}
+        (folder / "a.txt").unlink()
+        w.drain()
+        assert len(taken) == 2
+    finally:
+        w.stop()
