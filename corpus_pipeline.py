@@ -13,7 +13,7 @@ from graphloom.llm.language_id import fit_language_model, held_out, identify
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.near_duplicates import near_duplicates
 from graphloom.llm.packing import pack_documents
-from graphloom.llm.scratch import Scratch
+from graphloom.scratch import Scratch
 from graphloom.llm.toxicity import fit_severity, severity
 from graphloom.session import table, workers_find_package
 

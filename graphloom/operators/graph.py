@@ -9,10 +9,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.config import EDGE_TYPE_WEIGHTS
 from graphloom.functions.texts import label_key
+from graphloom.session import held
+
+#: Edges of a graph that is broadcast for its betweenness at most; and sources of paths in a larger one.
+LOCAL_EDGES, PIVOTS = 500_000, 64
 
 
 @dataclass(frozen=True)
@@ -149,32 +152,72 @@ def betweenness(graph: Graph, as_distance: str = "weight", tasks: int = 8) -> Da
     """(node_id, betweenness): shortest-path betweenness, directed, normalised by (n - 1)(n - 2); 0 with two nodes or fewer.
 
     as_distance 'weight' takes the effective weight as a path's cost, so that strong edges are long; 'inverse' takes its
-    reciprocal. The adjacency of one session's graph (bounded by max_nodes) is broadcast; sources are spread over tasks, each of
-    which adds up its share, so a shuffle moves one number for each node and task. Edges without weight are not gone along.
+    reciprocal. Edges without weight are not gone along. The edges are measured first: up to LOCAL_EDGES of them are broadcast and
+    sources are spread over tasks, each of which adds up its share. A larger graph stays in tables: paths from all sources (beyond PIVOTS
+    nodes from so many of them, chosen by a hash, whose sums are scaled up) grow in step by joins.
     """
-    spark = graph.nodes.sparkSession
     cost = F.col("effective_weight") if as_distance == "weight" else 1.0 / F.col("effective_weight")
     edges = with_effective_weight(graph.edges) if "effective_weight" not in graph.edges.columns else graph.edges
-    rows = edges.where("effective_weight > 0").select("src", "dst", cost.alias("c")).toPandas()  # bounded by the graph's cap
+    hops = held(edges.where("effective_weight > 0").select("src", "dst", cost.alias("c")))
+    n = graph.nodes.count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    if hops.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        parts = _local_parts(graph.nodes, hops, tasks)
+    else:
+        pivots = held(graph.nodes.select("node_id").orderBy(F.xxhash64("node_id")).limit(PIVOTS))
+        parts = _parts_by_joins(pivots, hops)
+        scale *= n / min(n, PIVOTS)
+    sums = parts.groupBy("node_id").agg((F.sum("part") * F.lit(scale)).alias("betweenness"))
+    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _local_parts(nodes: DataFrame, hops: DataFrame, tasks: int) -> DataFrame:
+    """(node_id, part): each task's sum of what its sources' shortest paths give a node."""
     out: dict[str, list[tuple[str, float]]] = {}
-    for s, d, c in rows.itertuples(index=False):
+    for s, d, c in hops.toPandas().itertuples(index=False):  # measured to be few
         out.setdefault(s, []).append((d, c))
-    shared = spark.sparkContext.broadcast(out)
+    shared = nodes.sparkSession.sparkContext.broadcast(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, float] = {}
         for batch in batches:
             for source in batch["node_id"]:
-                total.setdefault(source, 0.0)
                 for node, x in _dependencies(shared.value, source).items():
                     total[node] = total.get(node, 0.0) + x
         yield pd.DataFrame({"node_id": list(total), "part": list(total.values())}, columns=["node_id", "part"]).astype({"node_id": object, "part": float})
 
-    n = graph.nodes.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    parts = graph.nodes.select("node_id").repartition(tasks, "node_id").mapInPandas(run, "node_id string, part double")
-    sums = parts.groupBy("node_id").agg((F.sum("part") * F.lit(scale)).alias("betweenness"))
-    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    return nodes.select("node_id").repartition(tasks, "node_id").mapInPandas(run, "node_id string, part double")
+
+
+def _parts_by_joins(pivots: DataFrame, hops: DataFrame) -> DataFrame:
+    """(node_id, part): what each pivot's shortest paths give a node, by tables of (source, node).
+
+    A round lengthens the paths that got shorter by one hop. Shortest paths have no more hops than there are rounds, so as many rounds
+    of sums along the edges on shortest paths count the paths, forwards, and add up the dependencies, backwards.
+    """
+    far = held(pivots.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("d")))
+    edge, front, rounds = hops.select(F.col("src").alias("node"), F.col("dst").alias("next"), "c"), far, 0
+    while not front.isEmpty():
+        tried = front.join(edge, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.col("d") + F.col("c")).alias("by"))
+        both = held(far.join(tried, ["source", "node"], "full").withColumn("nearer", F.coalesce(F.col("by") < F.col("d") - 1e-12, F.col("by").isNotNull())))
+        far = both.select("source", "node", F.when(F.col("nearer"), F.col("by")).otherwise(F.col("d")).alias("d"))
+        front = far.join(both.where("nearer").select("source", "node"), ["source", "node"], "left_semi")
+        rounds += 1
+    far = held(far)
+    to = far.select("source", F.col("node").alias("next"), F.col("d").alias("_d"))
+    tight = held(far.join(edge, "node").join(to, ["source", "next"]).where(F.abs(F.col("d") + F.col("c") - F.col("_d")) <= 1e-12).select("source", "node", "next"))
+    start = far.where("source = node").select("source", "node", F.lit(1.0).alias("paths"))
+    counts = start
+    for _ in range(rounds):
+        more = counts.join(tight, ["source", "node"]).groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        counts = held(start.unionByName(more))
+    ways = counts.select("source", F.col("node").alias("next"), F.col("paths").alias("_paths"))
+    share = held(tight.join(counts, ["source", "node"]).join(ways, ["source", "next"]).select("source", "node", "next", (F.col("paths") / F.col("_paths")).alias("share")))
+    gains = far.select("source", "node", F.lit(0.0).alias("part"))
+    for _ in range(rounds):
+        after = gains.select("source", F.col("node").alias("next"), "part")
+        gains = held(share.join(after, ["source", "next"], "left").groupBy("source", "node").agg(F.sum(F.col("share") * (1.0 + F.coalesce("part", F.lit(0.0)))).alias("part")))
+    return gains.where("source != node").select(F.col("node").alias("node_id"), "part")
 
 
 def _dependencies(out: dict[str, list[tuple[str, float]]], source: str) -> dict[str, float]:
@@ -213,7 +256,5 @@ def prune(graph: Graph, max_nodes: int, centrality: DataFrame | None = None) ->
     if over <= 0:
         return graph
     centrality = betweenness(graph) if centrality is None else centrality
-    free = graph.nodes.where(~F.coalesce("protected", F.lit(False))).join(centrality, "node_id")
-    order = Window.orderBy("betweenness", "ord")
-    gone = free.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= over).select("node_id")
-    return remove_nodes(graph, gone)
+    free = graph.nodes.where(~F.coalesce("protected", F.lit(False))).select("node_id", "ord").join(centrality, "node_id")
+    return remove_nodes(graph, held(free.orderBy("betweenness", "ord").limit(over).select("node_id")))

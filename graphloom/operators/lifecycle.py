@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import Config
+from graphloom.functions.vectors import TINY, norm
+from graphloom.operators.components import connected_components
 from graphloom.operators.similarity import similarity_join
 from graphloom.schemas import OBSERVATIONS, STRUCTURAL
+from graphloom.scratch import Scratch
+from graphloom.session import held
 
 DISTRIBUTIONS = "obs_id string, session_no int, degrees array<double>"
 
@@ -74,39 +78,48 @@ def refine_all(structural: DataFrame, contents: DataFrame, config: Config = Conf
 def observe(observations: DataFrame, nodes: DataFrame, entity_id: str = "unknown", config: Config = Config(), mode: str = "first") -> DataFrame:
     """The observations after nodes(label, embedding, ord): each joins the first one (mode 'best': the nearest) similar enough, else begins its own.
 
-    The outcome depends on the order, so this is a fold over one session's nodes, of which a session has max_nodes at most. A new
-    observation's id is a digest of its label and vector.
+    The outcome depends on the order, so this is a fold; but only over nodes and observations that can meet. Whatever joins an observation
+    is similar, to the square of the threshold at least, to one of those that make up its centroid (for the centroid of vectors that each
+    joined at a cosine of t has t times their mean length at least). So the nodes' links at the squared threshold are found first, by a
+    similarity join, and each connected group is folded by itself, in order. A new observation's id is a digest of its label and vector.
     """
-    spark, threshold = nodes.sparkSession, config.observation_merge_threshold
+    threshold = config.observation_merge_threshold
     names = [x.split()[0] for x in OBSERVATIONS.split(", ") if not x.startswith("int>")]
-    old = observations.withColumn("_new", F.lit(False)).withColumn("label", F.lit(None).cast("string")).withColumn("ord", F.row_number().over(Window.orderBy("node_id")).cast("long"))
-    new = nodes.where(F.col("embedding").isNotNull()).select(F.lit(None).cast("string").alias("node_id"), F.col("embedding").alias("pattern_embedding"), F.lit(0).alias("confirmation_count"), F.lit(0.0).alias("diversity_score"), F.lit(0.0).alias("stabilisation_score"), F.lit(0).alias("sessions_active"), F.array().cast("array<string>").alias("example_labels"), F.expr("CAST(map() AS MAP<STRING, INT>)").alias("entity_firing_counts"), F.lit(True).alias("_new"), "label", F.col("ord").cast("long").alias("ord"))
+    old = observations.withColumn("_new", F.lit(False)).withColumn("label", F.lit(None).cast("string")).withColumn("_key", F.concat(F.lit("o"), "node_id"))
+    new = nodes.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) >= TINY)).select(F.lit(None).cast("string").alias("node_id"), F.col("embedding").alias("pattern_embedding"), F.lit(0).alias("confirmation_count"), F.lit(0.0).alias("diversity_score"), F.lit(0.0).alias("stabilisation_score"), F.lit(0).alias("sessions_active"), F.array().cast("array<string>").alias("example_labels"), F.expr("CAST(map() AS MAP<STRING, INT>)").alias("entity_firing_counts"), F.lit(True).alias("_new"), "label", F.col("ord").cast("long").alias("ord"))
+    new = new.withColumn("_key", F.concat(F.lit("n"), F.col("ord").cast("string"), F.lit("|"), F.coalesce("label", F.lit(""))))
+    rows = held(old.withColumn("ord", F.lit(None).cast("long")).select(*new.columns).unionByName(new))
+    vector = rows.select(F.col("_key").alias("a"), F.col("pattern_embedding").alias("v"))
+    fresh = rows.where("_new").select(F.col("_key").alias("b"), F.col("pattern_embedding").alias("v"))
+    scratch = Scratch(observations.sparkSession, "observe")
+    links = similarity_join(vector, fresh, threshold * threshold - 1e-9, "a", "b").where("a != b").select("a", "b")
+    groups = scratch.table(connected_components(links, scratch))
+    grouped = rows.join(groups, rows["_key"] == groups["id"], "left").withColumn("_group", F.coalesce("component", "_key"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: list[dict] = []
-        for r in rows.sort_values(["_new", "ord"]).to_dict("records"):
+        there: list[dict] = []
+        for r in rows.sort_values(["_new", "ord", "node_id"]).to_dict("records"):
             x = np.array(r["pattern_embedding"], dtype=float)
             if not r["_new"]:
-                held.append(r | {"pattern_embedding": x, "example_labels": list(r["example_labels"]), "entity_firing_counts": dict(r["entity_firing_counts"])})
+                there.append(r | {"pattern_embedding": x, "example_labels": list(r["example_labels"]), "entity_firing_counts": dict(r["entity_firing_counts"])})
                 continue
             if np.linalg.norm(x) < 1e-10:
                 continue
-            near = [(float(x @ o["pattern_embedding"]) / max(1e-10, np.linalg.norm(x) * np.linalg.norm(o["pattern_embedding"])), -i) for i, o in enumerate(held)]
+            near = [(float(x @ o["pattern_embedding"]) / max(1e-10, np.linalg.norm(x) * np.linalg.norm(o["pattern_embedding"])), -i) for i, o in enumerate(there)]
             enough = [n for n in near if n[0] >= threshold]
             if enough:
-                o = held[-(max(enough)[1] if mode == "best" else enough[0][1])]
+                o = there[-(max(enough)[1] if mode == "best" else enough[0][1])]
             else:
                 o = r | {"node_id": hashlib.sha256(f"{r['label']}|{x.tolist()}".encode()).hexdigest()[:32], "pattern_embedding": x, "example_labels": [], "entity_firing_counts": {}}
-                held.append(o)
+                there.append(o)
             n = o["confirmation_count"]
             o["pattern_embedding"] = (o["pattern_embedding"] * n + x) / (n + 1)
             o["confirmation_count"] = n + 1
             o["example_labels"] = [*o["example_labels"], r["label"]][-5:]
             o["entity_firing_counts"][entity_id] = o["entity_firing_counts"].get(entity_id, 0) + 1
-        return pd.DataFrame([{k: (o[k].tolist() if k == "pattern_embedding" else o[k]) for k in names} for o in held], columns=names)
+        return pd.DataFrame([{k: (o[k].tolist() if k == "pattern_embedding" else o[k]) for k in names} for o in there], columns=names)
 
-    both = old.select(*new.columns).unionByName(new)
-    return both.groupBy(F.lit(1).alias("_all")).applyInPandas(fold, OBSERVATIONS) if spark else both
+    return grouped.select("_group", *(c for c in new.columns if c != "_key")).groupBy("_group").applyInPandas(fold, OBSERVATIONS)
 
 
 def wasserstein_pairs(distributions: DataFrame) -> DataFrame:

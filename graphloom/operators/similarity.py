@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.vectors import TINY, cosine, literal, norm
+from graphloom.session import held
 
-#: Bytes of vectors up to which the smaller side of a similarity join is broadcast; beyond it both sides meet in blocks.
+#: Bytes of vectors that a similarity join broadcasts at a time, and rows of either side that are multiplied at once.
 BROADCAST_BYTES, BLOCK = 64_000_000, 1024
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
-
-
-def _matrix(rows: list) -> np.ndarray:
-    return np.array(rows, dtype=float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
-
-
-def _units(rows: list) -> np.ndarray:
-    x = _matrix(rows)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a list column, which have one length, as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def similar_nodes(nodes: DataFrame, vector: Sequence[float], threshold: float = 0.0, k: int = 10) -> DataFrame:
@@ -47,51 +45,53 @@ def anchors(nodes: DataFrame, queries: DataFrame, k: int = 3, threshold: float =
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, below: float | None = None) -> DataFrame:
     """(left_id, right_id, similarity) of left(left_id, v) and right(right_id, v) with cosine >= threshold (or, with `below`, strictly between the two).
 
-    The larger side streams past the smaller one if its vectors are proven small, else blocks of both sides meet; either way a block's
-    products are made together and only the pairs that pass are emitted. Null and zero vectors match nothing.
+    The left side streams past the right one, which is measured first. If its vectors are larger than BROADCAST_BYTES, they are broadcast in slices
+    of about that size, one after the other, each dropped after its pass over the left side; nothing is shuffled. A batch's products are made
+    together, and only the pairs that pass are emitted. Null and zero vectors match nothing, nor do vectors of another length.
     """
-    left, right = (f.where(F.col("v").isNotNull() & (norm(F.col("v")) >= TINY)).select(i, "v") for f, i in ((left, left_id), (right, right_id)))
-    held = right.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    spark = left.sparkSession
+    left, right = (held(f.where(F.col("v").isNotNull() & (norm(F.col("v")) >= TINY)).select(i, F.col("v").cast("array<double>").alias("v"))) for f, i in ((left, left_id), (right, right_id)))
+    rows, longest = right.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     schema = f"{left_id} {dict(left.dtypes)[left_id]}, {right_id} {dict(right.dtypes)[right_id]}, similarity double"
 
-    def matched(a: pa.Table, ids: np.ndarray, unit: np.ndarray) -> pa.Table:
-        x = _matrix(a.column("v").to_pylist())
-        i, j, s = [], [], []
-        own = np.linalg.norm(x, axis=1)
-        for at in range(0, len(ids), BLOCK):
-            score = (x @ unit[at : at + BLOCK].T) / own[:, None]
-            hit = score >= threshold if below is None else (score > threshold) & (score < below)
-            p, q = np.nonzero(hit)
-            i.append(p)
-            j.append(q + at)
-            s.append(score[p, q])
-        i, j, s = (np.concatenate(y) if y else np.empty(0) for y in (i, j, s))
-        first = a.column(left_id).take(pa.array(i.astype(np.int64)))
-        return pa.table({left_id: first, right_id: pa.array(ids[j.astype(int)].tolist(), type=right_type), "similarity": pa.array(s, pa.float64())})
-
-    right_type = _ARROW[dict(right.dtypes)[right_id]]
-    if held[0] * held[1] * 8 <= BROADCAST_BYTES:
-        rows = right.toPandas()  # proven small
-        ids = rows[right_id].to_numpy()
-        shared = left.sparkSession.sparkContext.broadcast((ids, _units(rows["v"].tolist())))
-
-        def stream(batches):
+    def passing(part: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """The pairs with one slice of the right side, which its caller has bounded."""
+        table = part.toArrow()
+        by_length = {}
+        sizes = pc.list_value_length(table.column("v")).to_numpy()
+        for n in np.unique(sizes):
+            own = table.filter(pa.array(sizes == n))
+            x = _matrix(own.column("v"))
+            by_length[int(n)] = (own.column(right_id).combine_chunks(), x / np.linalg.norm(x, axis=1, keepdims=True))
+        shared = spark.sparkContext.broadcast(by_length)
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows and len(shared.value[0]):
-                    yield from matched(pa.Table.from_batches([batch]), *shared.value).to_batches()
-
-        return left.mapInArrow(stream, schema)
-    n = -(-held[0] // BLOCK)
-    blocks = F.array(*map(F.lit, range(n)))
-    a = left.select(F.explode(blocks).alias("_b"), F.pmod(F.xxhash64(left_id), F.lit(n)).cast("int").alias("_a"), left_id, F.lit(None).cast(dict(right.dtypes)[right_id]).alias(right_id), "v")
-    b = right.select(F.pmod(F.xxhash64(right_id), F.lit(n)).cast("int").alias("_b"), F.explode(blocks).alias("_a"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias(left_id), right_id, "v")
-
-    def meet(table: pa.Table) -> pa.Table:
-        own = table.filter(table.column(left_id).is_valid())
-        other = table.filter(table.column(right_id).is_valid())
-        return matched(own, np.array(other.column(right_id).to_pylist()), _units(other.column("v").to_pylist()))
-
-    return a.unionByName(b).groupBy("_a", "_b").applyInArrow(meet, schema)
+                sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+                for n in set(sizes.tolist()) & shared.value.keys():
+                    own = batch.filter(pa.array(sizes == n))
+                    ids, unit = shared.value[n]
+                    for start in range(0, own.num_rows, BLOCK):
+                        some = own.slice(start, BLOCK)
+                        x = _matrix(some.column("v"))
+                        x /= np.linalg.norm(x, axis=1, keepdims=True)
+                        for at in range(0, len(ids), BLOCK):
+                            score = x @ unit[at : at + BLOCK].T
+                            i, j = np.nonzero(score >= threshold if below is None else (score > threshold) & (score < below))
+                            if len(i):
+                                yield pa.RecordBatch.from_arrays([some.column(left_id).take(pa.array(i)), ids.take(pa.array(j + at)), pa.array(score[i, j])], [left_id, right_id, "similarity"])
+
+        return left.mapInArrow(stream, schema), shared
+
+    slices = max(1, -(-rows * longest * 8 // BROADCAST_BYTES))
+    if slices == 1:
+        return passing(right)[0]
+    found = []
+    for k in range(slices):
+        pairs, shared = passing(right.where(F.pmod(F.xxhash64(right_id), F.lit(slices)) == k))
+        found.append(held(pairs))
+        shared.destroy()
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def window_edges(vectors: DataFrame, threshold: float, low: int = 2, high: int = 5) -> DataFrame:

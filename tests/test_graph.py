@@ -1,3 +1,4 @@
+import random
 import itertools
 import math
 
@@ -99,6 +100,19 @@ def test_betweenness(spark):
     assert g.betweenness(graph(spark, [node("1", "a")], [])).first().betweenness == 0.0
 
 
+def test_betweenness_of_larger_graphs_by_joins(spark, monkeypatch):
+    rnd = random.Random(3)
+    pairs = rnd.sample([(a, b) for a in range(30) for b in range(30) if a != b], 110)
+    out = graph(spark, [node(str(i), f"n{i}") for i in range(31)], [edge(str(a), str(b), "causal", rnd.choice([0.25, 0.5, 0.75, 1.0])) for a, b in pairs])
+    local = {r.node_id: r.betweenness for r in g.betweenness(out).collect()}
+    monkeypatch.setattr(g, "LOCAL_EDGES", 5)
+    joined = {r.node_id: r.betweenness for r in g.betweenness(out).collect()}
+    assert joined.keys() == local.keys() and all(joined[k] == pytest.approx(local[k], abs=1e-12) for k in local) and max(local.values()) > 0
+    monkeypatch.setattr(g, "PIVOTS", 20)
+    some = {r.node_id: r.betweenness for r in g.betweenness(out).collect()}
+    assert 0.5 < sum(some.values()) / sum(local.values()) < 2
+
+
 def test_degrees_protection_and_removal(spark):
     out = simple(spark)
     assert g.degree_distribution(out).first().degrees == [1.0, 1.0, 2.0]
@@ -200,10 +214,12 @@ def test_similarity_join_in_blocks(spark, monkeypatch):
     a = spark.createDataFrame([(f"a{i}", rnd.normal(size=4).tolist()) for i in range(60)] + [("z", [0.0] * 4), ("n", None)], "l string, v array<double>")
     b = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(50)], "r long, v array<double>")
     wide = sorted(map(tuple, similarity_join(a, b, 0.5, "l", "r").select("l", "r").collect()))
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 500)  # four slices
     monkeypatch.setattr(module, "BLOCK", 16)
     assert sorted(map(tuple, similarity_join(a, b, 0.5, "l", "r").select("l", "r").collect())) == wide and wide
     assert similarity_join(a, b.limit(0), 0.5, "l", "r").count() == 0
+    other = b.unionByName(spark.createDataFrame([(99, [1.0, 2.0])], "r long, v array<double>"))  # of another length
+    assert sorted(map(tuple, similarity_join(a, other, 0.5, "l", "r").select("l", "r").collect())) == wide
 
 
 def test_window_edges_look_ahead(spark):

@@ -57,6 +57,28 @@ def test_observe_is_a_fold_in_order(spark):
     assert first[2] == ["a", "c"] and best[2] == ["b", "c"]
 
 
+@pytest.mark.parametrize("threshold,mode", [(0.9, "first"), (0.6, "first"), (0.7, "best")])
+def test_groups_are_folded_as_one_row_after_the_other(spark, threshold, mode):
+    """Clusters of vectors of any length, and older observations: as a plain fold over all of them."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(12, 5))
+    vectors = [(centres[i % 12] + rnd.normal(scale=0.5, size=5)) * rnd.uniform(0.2, 3) for i in range(150)]
+    olds = [observation(f"o{i}", (centres[i] * 0.7).tolist(), confirmations=i) for i in range(4)]
+    there = [[f"o{i}", np.array(o[1]), o[2]] for i, o in enumerate(olds)]
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    for x in vectors:
+        near = [(cosine(x, o[1]), -i) for i, o in enumerate(there) if cosine(x, o[1]) >= threshold]
+        if near:
+            o = there[-(max(near)[1] if mode == "best" else near[0][1])]
+        else:
+            o = ["new", np.zeros(5), 0]
+            there.append(o)
+        o[1], o[2] = (o[1] * o[2] + x) / (o[2] + 1), o[2] + 1
+    nodes = spark.createDataFrame([(f"l{i}", x.tolist(), i) for i, x in enumerate(vectors)], "label string, embedding array<double>, ord int")
+    out = lc.observe(library(spark, olds).observations, nodes.repartition(3), config=Config(observation_merge_threshold=threshold), mode=mode).collect()
+    assert sorted((r.confirmation_count, round(r.pattern_embedding[0], 9)) for r in out) == sorted((n, round(v[0], 9)) for _, v, n in there)
+
+
 def test_match_boost_and_refine(spark):
     s = [("p", [1.0, 0.0], 1, 0.5, True, "active", 0), ("q", [0.0, 1.0], 1, 0.5, True, "infrastructure", 0)]
     lib = library(spark, [], structural=s)
