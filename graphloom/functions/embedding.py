@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -56,8 +57,8 @@ def get_embedder(use_model: bool = False, name: str = "all-MiniLM-L6-v2") -> Emb
         try:
             _model(name)
             return ModelEmbedder(name)
-        except ImportError:
-            pass
+        except Exception as e:  # not installed, or the model cannot be loaded
+            print(f"{name} cannot be loaded ({type(e).__name__}); texts get stand-in vectors", file=sys.stderr)
     return HashEmbedder()
 
 

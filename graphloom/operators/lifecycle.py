@@ -187,6 +187,34 @@ def infrastructure_cost(structural: DataFrame) -> DataFrame:
     return structural.agg(total.alias("total"), infra.alias("infrastructure"), (total - infra).alias("active"), (infra / F.greatest(total, F.lit(1))).alias("fraction"), F.count_if("is_generalised").alias("generalised"))
 
 
+def library_summary(library: Library) -> DataFrame:
+    """infrastructure_cost with the number of observations that sessions have said something of."""
+    candidates = library.distributions.agg(F.count_distinct("obs_id").alias("candidates"))
+    return infrastructure_cost(library.structural).join(candidates, F.lit(True))  # one row each
+
+
+def record_distribution(library: Library, obs_id: str, degrees: list[float]) -> Library:
+    """The library with one more session's degrees for an observation, after those it has."""
+    last = library.distributions.where(F.col("obs_id") == obs_id).agg(F.coalesce(F.max("session_no"), F.lit(0)) + 1).first()[0]
+    row = library.distributions.sparkSession.createDataFrame([(obs_id, last, [float(x) for x in degrees])], DISTRIBUTIONS)
+    return Library(library.structural, library.observations, library.distributions.unionByName(row))
+
+
+def session_distributions(library: Library, obs_id: str) -> DataFrame:
+    """(session_no, degrees) of an observation, in order."""
+    return library.distributions.where(F.col("obs_id") == obs_id).select("session_no", "degrees").orderBy("session_no")
+
+
+def entity_counts(library: Library, obs_id: str) -> DataFrame:
+    """(entity, n): how often each entity fired an observation."""
+    return library.observations.where(F.col("node_id") == obs_id).select(F.explode("entity_firing_counts").alias("entity", "n"))
+
+
+def firing_patterns(structural: DataFrame, matches: DataFrame) -> DataFrame:
+    """The patterns that some node matches."""
+    return structural.join(matches.select(F.col("pattern_id").alias("node_id")).distinct(), "node_id", "left_semi").select(*structural.columns)
+
+
 def confirmation_report(observations: DataFrame) -> DataFrame:
     """(confirmation_count, n): the histogram of confirmations."""
     return observations.groupBy("confirmation_count").agg(F.count(F.lit(1)).alias("n"))

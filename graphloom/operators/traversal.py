@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -86,54 +87,77 @@ def query_paths(graph: Graph, queries: DataFrame, config: Config = Config(), del
     to the later ones. Many queries run together. Where the graph has been measured to be small (a session's is, by its cap) it is broadcast and
     each task answers its share of the queries, with no shuffle; a larger graph is searched by joins, all queries in step.
     """
-    scores = held(hop_scores(graph, deltas))
-    nodes = graph.nodes.where("embedding IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    if scores.count() <= LOCAL_HOPS and nodes[0] * nodes[1] * 8 <= LOCAL_BYTES:
-        return _paths_by_query(graph, queries, scores, config)
-    return _paths_by_joins(graph, queries, scores, config)
-
-
-def _paths_by_query(graph: Graph, queries: DataFrame, scores: DataFrame, config: Config) -> DataFrame:
+    local = local_graph(graph, deltas)
+    if local is not None:
+        return _paths_by_query(local, queries, config)
+    return _paths_by_joins(graph, queries, held(hop_scores(graph, deltas)), config)
+
+
+@dataclass(frozen=True)
+class LocalGraph:
+    """A graph that was measured to be small, in memory: nodes with a vector in order and their unit vectors, hops that score, all neighbours, labels."""
+
+    ids: np.ndarray
+    unit: np.ndarray
+    hops: dict[str, list[tuple[str, float]]]
+    near: dict[str, set[str]]
+    labels: dict[str, str]
+
+    def anchors(self, vector, k: int) -> list[str]:
+        """The k nodes most similar to the vector, those of a negative similarity left out."""
+        x = None if vector is None else np.asarray(vector, dtype=float)
+        if x is None or not len(self.ids) or np.linalg.norm(x) < TINY:
+            return []
+        likeness = self.unit @ (x / np.linalg.norm(x))
+        return [self.ids[i] for i in np.argsort(-likeness, kind="stable")[:k] if likeness[i] >= 0]
+
+    def paths(self, vector, config: Config) -> list[tuple[list[str], list[float], float]]:
+        """The best paths from a vector's anchors, best first: (nodes, hop scores, conductivity)."""
+        found: dict[tuple[str, ...], tuple[list[str], list[float], float]] = {}
+        closed: set[str] = set()
+        for start in self.anchors(vector, config.top_k_anchors):
+            for path, scored, value in _beam(start, self.hops, closed, config):
+                found.setdefault(tuple(path), (path, scored, value))
+            closed.update(node for path, _, _ in found.values() for node in path[1:])
+        return sorted(found.values(), key=lambda p: -p[2])[: config.top_k_paths]
+
+
+def local_graph(graph: Graph, deltas: DataFrame | None = None) -> LocalGraph | None:
+    """The graph in memory, if it has LOCAL_HOPS edges and LOCAL_BYTES of vectors at most; else None."""
+    nodes = graph.nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if nodes[0] > LOCAL_HOPS or nodes[0] * max(0, nodes[1]) * 8 > LOCAL_BYTES or graph.edges.limit(LOCAL_HOPS + 1).count() > LOCAL_HOPS:
+        return None
     rows = graph.nodes.select("node_id", "label", "embedding", "ord").orderBy("ord").toPandas()  # measured to be small
     seen = rows[rows["embedding"].notna()]
     vectors = np.array(seen["embedding"].tolist(), dtype=float).reshape(len(seen), -1) if len(seen) else np.zeros((0, 0))
     lengths = np.linalg.norm(vectors, axis=1)
-    ids = seen["node_id"].to_numpy()[lengths >= TINY]
+    keep = lengths >= TINY
     hops: dict[str, list[tuple[str, float]]] = {}
-    for src, dst, score in scores.where("score > 0").orderBy("src", "ord").select("src", "dst", "score").toPandas().itertuples(index=False):
+    for src, dst, score in hop_scores(graph, deltas).where("score > 0").orderBy("src", "ord").select("src", "dst", "score").toPandas().itertuples(index=False):
         hops.setdefault(src, []).append((dst, score))
-    keep = lengths >= TINY
-    shared = graph.nodes.sparkSession.sparkContext.broadcast((ids, vectors[keep] / lengths[keep, None], hops, dict(zip(rows["node_id"], rows["label"], strict=True))))
+    near: dict[str, set[str]] = {}
+    for src, dst in graph.edges.select("src", "dst").toPandas().itertuples(index=False):
+        near.setdefault(src, set()).add(dst)
+        near.setdefault(dst, set()).add(src)
+    return LocalGraph(seen["node_id"].to_numpy()[keep], vectors[keep] / lengths[keep, None], hops, near, dict(zip(rows["node_id"], rows["label"], strict=True)))
+
+
+def _paths_by_query(local: LocalGraph, queries: DataFrame, config: Config) -> DataFrame:
+    shared = queries.sparkSession.sparkContext.broadcast(local)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, unit, hops, labels = shared.value
+        local = shared.value
         for batch in batches:
             out = []
             for query_id, vector in zip(batch["query_id"], batch["vector"], strict=True):
-                for rank, (path, scored, value) in enumerate(_best_paths(vector, ids, unit, hops, config), 1):
-                    out.append((query_id, rank, path, [labels.get(i) for i in path], value, scored, len(path)))
+                for rank, (path, scored, value) in enumerate(local.paths(vector, config), 1):
+                    out.append((query_id, rank, path, [local.labels.get(i) for i in path], value, scored, len(path)))
             yield pd.DataFrame(out, columns=["query_id", "rank", "node_ids", "labels", "conductivity", "hop_scores", "length"])
 
     kind = dict(queries.dtypes)["query_id"]
     return queries.select("query_id", "vector").mapInPandas(answer, f"query_id {kind}, rank int, node_ids array<string>, labels array<string>, conductivity double, hop_scores array<double>, length int")
 
 
-def _best_paths(vector, ids: np.ndarray, unit: np.ndarray, hops: dict, config: Config) -> list[tuple[list[str], list[float], float]]:
-    """One query's paths, best first, over the graph in memory."""
-    x = None if vector is None else np.asarray(vector, dtype=float)
-    if x is None or not len(ids) or np.linalg.norm(x) < TINY:
-        return []
-    likeness = unit @ (x / np.linalg.norm(x))
-    starts = [i for i in np.argsort(-likeness, kind="stable")[: config.top_k_anchors] if likeness[i] >= 0]
-    found: dict[tuple[str, ...], tuple[list[str], list[float], float]] = {}
-    closed: set[str] = set()
-    for i in starts:
-        for path, scored, value in _beam(ids[i], hops, closed, config):
-            found.setdefault(tuple(path), (path, scored, value))
-        closed.update(node for path, _, _ in found.values() for node in path[1:])
-    return sorted(found.values(), key=lambda p: -p[2])[: config.top_k_paths]
-
-
 def _beam(start: str, hops: dict, closed: set[str], config: Config) -> list[tuple[list[str], list[float], float]]:
     live, ended = [(0.0, [start], [])], []
     for depth in range(1, config.max_path_depth + 1):

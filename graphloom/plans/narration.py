@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -40,3 +42,28 @@ def narrate(prompt: str, generate: Callable[..., Iterator[str]] | None = None, m
         yield from generate(prompt, max_tokens=max_tokens, temperature=temperature)
     else:
         yield from (line + "\n" for line in prompt.split("\n") if line.startswith("Path "))
+
+
+def load_narrator(model: str | None, context: int = 4096) -> Callable[..., Iterator[str]] | None:
+    """A generator over a local model file, if one is named and its library can load it; else None, and narrate() gives the paths' lines."""
+    if not model:
+        return None
+    try:
+        from llama_cpp import Llama
+
+        loaded = Llama(model_path=os.path.expanduser(model), n_ctx=context, verbose=False)
+    except Exception as e:  # not installed, or no such model
+        print(f"{model} cannot be loaded ({type(e).__name__}); paths are told as they are", file=sys.stderr)
+        return None
+
+    def generate(prompt: str, max_tokens: int, temperature: float) -> Iterator[str]:
+        for piece in loaded(prompt, max_tokens=max_tokens, temperature=temperature, stream=True):
+            yield piece["choices"][0]["text"]
+
+    return generate
+
+
+def one_prompt(question: str, records: list[dict], model: str = "") -> str:
+    """The prompt for one question's path records, as prompts() makes them for many."""
+    lines = "\n".join(f"Path {r['rank']} (confidence {r['conductivity']:.2f}, {r['length'] - 1} hop{'' if r['length'] == 2 else 's'}): {' → '.join(map(str, r['path']))}" for r in records)
+    return CHAT["phi" if "phi" in model.lower() else ""].format(f"Question: {question}\n\nReasoning paths:\n{lines}\n\n{TASK}")

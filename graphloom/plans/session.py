@@ -13,7 +13,7 @@ from graphloom.config import Config
 from graphloom.functions.embedding import Embedder, HashEmbedder, embed, embed_labels
 from graphloom.operators import ensemble, graph as g, lifecycle, whatif
 from graphloom.operators.similarity import anchors
-from graphloom.operators.traversal import protected_by, query_paths
+from graphloom.operators.traversal import local_graph, protected_by, query_paths
 from graphloom.plans.ingest import document_rows, report_totals, simple_rows, simple_sentences
 from graphloom.plans.narration import path_records
 from graphloom.schemas import EDGES, NODES
@@ -25,20 +25,41 @@ class Session:
 
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, config: Config = Config(), library: lifecycle.Library | None = None, entity_id: str = "default"):
         self.spark, self.folder, self.config, self.entity_id = spark, folder, config, entity_id
+        self._touched: set[str] = set()
         self.embedder = embedder or HashEmbedder()
         self.library = library or lifecycle.empty_library(spark)
         self.reset()
 
     def reset(self) -> None:
         empty = g.Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
+        self._touched = set()
         self.state = whatif.no_speculations(empty)
         self.other: g.Graph | None = None
         self.ensemble_mode, self.stability_score, self.documents, self.ingested = False, None, 0, False
 
+    @property
+    def state(self) -> whatif.Overlay:
+        """The graph and its changes. What questions have touched since it was last looked at becomes protected first."""
+        if self._touched:
+            ids, self._touched = self.spark.createDataFrame([(i,) for i in sorted(self._touched)], "node_id string"), set()
+            self._protect(ids)
+        return self._state
+
+    @state.setter
+    def state(self, state: whatif.Overlay) -> None:
+        self._state, self._local, self._measured = state, None, False
+
     @property
     def graph(self) -> g.Graph:
         return self.state.graph
 
+    def _protect(self, ids: DataFrame) -> None:
+        graph = self._state.graph
+        nodes = graph.nodes.join(F.broadcast(ids.select(F.col("node_id").alias("_id"))) if self._measured and self._local else ids.select(F.col("node_id").alias("_id")), F.col("node_id") == F.col("_id"), "left")
+        nodes = nodes.withColumn("protected", F.coalesce("protected", F.lit(False)) | F.col("_id").isNotNull()).select(*graph.nodes.columns)
+        # protection changes no path, so what is held in memory stays
+        self._state = whatif.Overlay(g.Graph(self._held(nodes), graph.edges), self._state.speculations, self._state.deltas)
+
     def _held(self, frame: DataFrame) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         frame.write.parquet(path)
@@ -108,12 +129,20 @@ class Session:
         return ensemble.agreed_paths(found, query_paths(self.other, queries, self.config)) if self.ensemble_mode and self.other else found
 
     def query(self, text: str) -> list[dict]:
-        """The best paths for a question, best first. What it touches is protected from pruning."""
+        """The best paths for a question, best first. What it touches (its anchors and their neighbours) is protected from pruning.
+
+        A graph that was measured to be small is held in memory from the first question on, until it changes: then a question takes no job.
+        """
+        if not self._measured:
+            self._local, self._measured = local_graph(self.graph, self.state.deltas), True
+        if self._local is not None and not (self.ensemble_mode and self.other):
+            vector = self._vector(text)
+            picked = self._local.anchors(vector, self.config.top_k_anchors)
+            self._touched.update(picked, *(self._local.near.get(i, ()) for i in picked))
+            found = enumerate(self._local.paths(vector, self.config), 1)
+            return [{"query_id": 0, "rank": rank, "path": [self._local.labels.get(i) for i in path], "conductivity": round(value, 6), "hop_scores": [round(h, 4) for h in hops], "length": len(path)} for rank, (path, hops, value) in found]
         out = [r.asDict() for r in path_records(self._held(self.paths([text]))).orderBy("rank").collect()]
-        ids = protected_by(self.graph, anchors(self.graph.nodes, self._queries([text]), self.config.top_k_anchors))
-        nodes = self.graph.nodes.join(ids.withColumn("_hit", F.lit(True)), "node_id", "left").withColumn("protected", F.coalesce("protected", F.lit(False)) | F.coalesce("_hit", F.lit(False)))
-        names = [f.name for f in self.graph.nodes.schema]
-        self.state = whatif.Overlay(g.Graph(self._held(nodes.select(*names)), self.graph.edges), self.state.speculations, self.state.deltas)
+        self._protect(self._held(protected_by(self.graph, anchors(self.graph.nodes, self._queries([text]), self.config.top_k_anchors))))
         return out
 
     def speculate(self, statement: str) -> str:

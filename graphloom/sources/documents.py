@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -144,26 +145,40 @@ def parse_ics(text: str) -> dict | None:
     return {"format": "ics", "sections": [_section("", body)]} if body else None
 
 
-def pdf_blocks(data: bytes) -> list[tuple[int, int, str, float]]:
-    """(page, block, text, mean font size) of a PDF, where its parser is installed."""
+def pdf_blocks(data: bytes) -> list[tuple[int, int, str, list[float]]]:
+    """(page, block, text, font size of each character) of a PDF, where its parser is installed. Empty lines fall away, others are joined by a space."""
     from pdfminer.high_level import extract_pages
     from pdfminer.layout import LTChar, LTTextContainer
 
     out = []
     for page, layout in enumerate(extract_pages(io.BytesIO(data)), 1):
         for block, part in enumerate(x for x in layout if isinstance(x, LTTextContainer)):
-            sizes = [c.size for line in part if hasattr(line, "__iter__") for c in line if isinstance(c, LTChar)]
-            out.append((page, block, part.get_text().strip(), sum(sizes) / len(sizes) if sizes else 0.0))
+            lines = [line for line in part if hasattr(line, "get_text") and line.get_text().strip()]
+            out.append((page, block, " ".join(line.get_text().strip() for line in lines), [c.size for line in lines if hasattr(line, "__iter__") for c in line if isinstance(c, LTChar)]))
     return out
 
 
+def pdf_text(data: bytes) -> str:
+    """The whole text of a PDF, where its parser is installed."""
+    from pdfminer.high_level import extract_text
+
+    return extract_text(io.BytesIO(data)).strip()
+
+
 def parse_pdf(data: bytes) -> dict | None:
-    blocks = pdf_blocks(data)
-    sizes = [round(s, 1) for *_, s in blocks if s]
-    usual = max(set(sizes), key=lambda s: (sizes.count(s), -s)) if sizes else 0.0
+    """Sections by font size: the body's is the commonest of all characters. A file without sizes or sections, or whose layout fails, is one section."""
+    try:
+        blocks = pdf_blocks(data)
+    except ImportError:
+        raise
+    except Exception:  # the layout cannot be told; its text may still
+        blocks = []
+    by_size = Counter(s for *_, sizes in blocks for s in sizes)
+    usual = by_size.most_common(1)[0][0] if by_size else 0.0
     runs: list[tuple[str, int, int, list[str]]] = [("", 0, 1, [])]
-    for page, _, text, size in blocks:
-        large = usual > 0 and size >= HEADING_SIZE * usual
+    for page, _, text, sizes in blocks if by_size else []:
+        size = sum(sizes) / len(sizes) if sizes else usual
+        large = size >= HEADING_SIZE * usual
         if re.fullmatch(r"\d+", text) or (len(text) < LEAST_BLOCK and not large) or not text:
             continue
         if large:
@@ -171,8 +186,8 @@ def parse_pdf(data: bytes) -> dict | None:
         else:
             runs[-1][3].append(text)
     sections = [_section(h, "\n".join(t), level, page) for h, level, page, t in runs if t]
-    if not sections and any(t for _, _, t, _ in blocks):
-        sections = [_section("", "\n".join(t for _, _, t, _ in blocks if t))]
+    if not sections and (text := pdf_text(data)):
+        sections = [_section("", text)]
     return {"format": "pdf", "sections": sections} if sections else None
 
 
@@ -225,19 +240,51 @@ def read_folder(spark: SparkSession, folder: str, recursive: bool = True, extens
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The given files as documents, in any order; a missing file is a row with an error."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there, missing = [], []
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        (there if where.getFileSystem(conf).exists(where) else missing).append(p)
-    lost = spark.createDataFrame([(p, "no such file") for p in missing], "path string, error string")
+    there, hollow, missing = _found(spark, paths)
+    lost = spark.createDataFrame([(p, "no such file") for p in missing] + [(p, "no text") for p in hollow], "path string, error string")
     names = re.findall(r"(?:^|, )(\w+) (?:string|array)", DOCUMENTS)
     empty = spark.createDataFrame([], DOCUMENTS)
     lost = empty.select(names).unionByName(lost, allowMissingColumns=True)
     return parse_files(spark.read.format("binaryFile").load(there)).unionByName(lost) if there else lost
 
 
+def flat_text(path: str, data: bytes) -> str | None:
+    """A file's text without structure: text files as they stand ('' if empty), others by their parser; None for what cannot be read."""
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if kind in (*TEXT_EXTENSIONS, "md"):
+        return data.decode("utf-8", "ignore")
+    found = parse_file(path, data) if kind in ("pdf", "docx", "ics") else {}
+    return found.get("raw_text")
+
+
+def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text) of the files that can be read, empty ones too; missing and other files fall away."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "text": [flat_text(p, bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)]})
+
+    there, empty, _ = _found(spark, paths)
+    files = spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary")  # the file source leaves them out
+    files = files.unionByName(spark.read.format("binaryFile").load(there).select("path", "content")) if there else files
+    return files.mapInPandas(run, "path string, text string").where("text IS NOT NULL")
+
+
+def _found(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """(those that exist, as patterns that match nothing else; empty files; those that are missing)."""
+    conf, there, empty, missing = spark.sparkContext._jsc.hadoopConfiguration(), [], [], []
+    for p in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where) and not fs.getFileStatus(where).getLen() and fs.getFileStatus(where).isFile():
+            empty.append(p)
+        elif fs.exists(where):
+            there.append(re.sub(r"([\[\]{}*?\\])", r"\\\1", p))
+        else:
+            missing.append(p)
+    return there, empty, missing
+
+
 def flat_texts(documents: DataFrame, least: int = 50) -> DataFrame:
     """(path, raw_text) of the documents that were read and hold enough text."""
     return documents.where(F.col("error").isNull() & (F.length(strip(F.col("raw_text"))) >= least)).select("path", "raw_text")

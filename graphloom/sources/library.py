@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,23 @@ from graphloom.schemas import LIBRARY_FILE
 VERSIONS = ("1.1", "1.0")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+#: Bytes of a library file at most; it is written by the driver.
+MOST_BYTES = 512_000_000
+
+
+def local_path(path: str) -> str:
+    """A path without a scheme may begin with the home folder's '~'."""
+    return path if "://" in path else os.path.expanduser(path)
+
+
+def _place(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _place(spark, path)
+    return fs.exists(where)
 
 
 def library_row(library: Library, saved_at: str | None = None) -> DataFrame:
@@ -31,25 +47,52 @@ def library_row(library: Library, saved_at: str | None = None) -> DataFrame:
 
 
 def save_library(library: Library, path: str, saved_at: str | None = None) -> dict:
-    """Writes the library below `path`; says how many nodes and observations it holds."""
-    row = library_row(library, saved_at).coalesce(1)
-    row.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    counts = row.sparkSession.read.schema("node_count int, observation_count int, saved_at string").json(path).first()
-    return {"path": path, "nodes_saved": counts[0], "observations_saved": counts[1], "saved_at": counts[2]}
+    """Writes the library as one indented JSON file at `path` ('~' is the home folder); says how many nodes and observations it holds.
+
+    The file is written next to its place and moved there, so a save that fails leaves the old one. A library larger than MOST_BYTES is no single
+    file's matter: ValueError.
+    """
+    spark = library.structural.sparkSession
+    size = lambda frame, c: frame.agg(F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0]
+    numbers = size(library.structural, "pattern_embedding") + size(library.observations, "pattern_embedding") + size(library.distributions, "degrees")
+    if numbers * 24 > MOST_BYTES:
+        raise ValueError(f"a library of {numbers} numbers is larger than one file should be")
+    row = json.loads(library_row(library, saved_at).toJSON(use_unicode=True).first())  # one row of bounded size
+    path = local_path(path)
+    where, fs = _place(spark, path)
+    part, _ = _place(spark, f"{path}.part")
+    fs.setWriteChecksum(False)
+    if where.getParent() is not None:
+        fs.mkdirs(where.getParent())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(row, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(where), options)
+    return {"path": path, "nodes_saved": row["node_count"], "observations_saved": row["observation_count"], "saved_at": row["saved_at"]}
 
 
 def _checked(spark: SparkSession, path: str) -> None:
-    text = spark.read.text(path, wholetext=True)
-    version = F.regexp_extract("value", r'"\w*version"\s*:\s*"([^"]*)"', 1)
-    found = text.select(version.alias("v"), F.col("value").rlike(r'"nodes"\s*:').alias("n")).first()
-    if found is None or not found["n"]:
+    """Raises ValueError unless the file is a JSON object with a list of nodes and a known version."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()  # bounded by what is saved
+    try:
+        found = json.loads(rows[0][0]) if len(rows) == 1 else None
+    except ValueError as e:
+        raise ValueError(f"{path}: no JSON") from e
+    if not isinstance(found, dict) or not isinstance(found.get("nodes"), list):
         raise ValueError(f"{path}: no pattern library")
-    if found["v"] not in VERSIONS:
-        raise ValueError(f"{path}: version {found['v'] or 'missing'} is not one of {', '.join(VERSIONS)}")
+    version = next((v for k, v in found.items() if k.endswith("version")), None)
+    if version not in VERSIONS:
+        raise ValueError(f"{path}: version {version or 'missing'} is not one of {', '.join(VERSIONS)}")
 
 
 def load_library(spark: SparkSession, path: str) -> Library:
     """The library's tables. FileNotFoundError if there is none, ValueError if the file is no library; missing fields take their defaults."""
+    path = local_path(path)
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     _checked(spark, path)
@@ -63,6 +106,7 @@ def load_library(spark: SparkSession, path: str) -> Library:
 
 def library_info(spark: SparkSession, path: str) -> dict | None:
     """What a library file says of itself, reading its counts alone; None if there is no such file."""
+    path = local_path(path)
     if not _exists(spark, path):
         return None
     _checked(spark, path)

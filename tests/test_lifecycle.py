@@ -119,3 +119,24 @@ def test_file_round_trip(spark, tmp_path):
     (tmp_path / "old.json").write_text('{"any_version": "1.0", "nodes": [{"node_id": "n", "pattern_embedding": [1.0]}]}')
     old = load_library(spark, str(tmp_path / "old.json"))
     assert old.structural.first().attention_mode == "infrastructure" and old.observations.count() == 0
+
+
+def test_one_file_for_a_person_to_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path))
+    lib = lc.record_distribution(library(spark, [observation("o", entities={"A": 2, "B": 1})], [("o", 1, [1.0])], [("p", [1.0, 0.5], 1, 0.5, True, "active", 0)]), "o", [2, 3.0])
+    assert save_library(lib, "~/deep/er/lib.json")["path"] == str(tmp_path / "deep/er/lib.json")
+    text = (tmp_path / "deep/er/lib.json").read_text()
+    assert text.startswith('{\n  "format_version"') and '\n      "pattern_embedding": [' in text and [x.name for x in (tmp_path / "deep/er").iterdir()] == ["lib.json"]
+    back = load_library(spark, "~/deep/er/lib.json")
+    assert [tuple(r) for r in lc.session_distributions(back, "o").collect()] == [(1, [1.0]), (2, [2.0, 3.0])]
+    assert {tuple(r) for r in lc.entity_counts(back, "o").collect()} == {("A", 2), ("B", 1)}
+    assert lc.library_summary(back).first().asDict() == {"total": 1, "infrastructure": 0, "active": 1, "fraction": 0.0, "generalised": 1, "candidates": 1}
+    nodes = spark.createDataFrame([("a", [1.0, 0.5])], "node_id string, embedding array<double>")
+    assert [r.node_id for r in lc.firing_patterns(back.structural, lc.match(nodes, back.structural)).collect()] == ["p"]
+    monkeypatch.setattr("graphloom.sources.library.MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        save_library(lib, "~/deep/er/lib.json")
+    assert (tmp_path / "deep/er/lib.json").read_text() == text
+    (tmp_path / "text.json").write_text('{"format_version": "1.1", "note": "\\"nodes\\": []"}')
+    with pytest.raises(ValueError):
+        load_library(spark, str(tmp_path / "text.json"))

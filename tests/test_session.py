@@ -1,7 +1,14 @@
-from graphloom.cli import answer
+import time
+
+import numpy as np
+from graphloom.cli import answer, run_demo, safe_save
 from graphloom.config import Config
 from graphloom.functions.embedding import HashEmbedder
 from graphloom.operators.graph import Graph
+from graphloom.operators import whatif
+from graphloom.operators.similarity import anchors
+from graphloom.operators.traversal import protected_by
+from graphloom.plans.narration import load_narrator, one_prompt, path_lines, path_records, prompts
 from graphloom.plans.session import Session
 from graphloom.schemas import EDGES, NODES
 
@@ -51,3 +58,31 @@ def test_texts_files_and_console(spark, tmp_path):
     assert answer(s, f":rollback {spec}") == "rolled back" and answer(s, f":confirm {answer(s, ':speculate x')}") == "confirmed"
     assert "nodes_saved" in answer(s, ":save", lib) and "no library" in answer(s, ":save")
     assert answer(s, ":quit") is None and answer(s, "") == "" and ":ingest" in answer(s, ":help") and "unknown" in answer(s, ":nope")
+
+
+def test_a_warm_question_takes_no_job(spark, tmp_path):
+    """2000 nodes held in memory: the paths are those of joins, what a question touches is protected when the graph is looked at next."""
+    rnd = np.random.default_rng(4)
+    s = Session(spark, str(tmp_path), HashEmbedder(16), Config(max_nodes=5000))
+    vectors = rnd.normal(size=(2000, 16))
+    nodes = spark.createDataFrame([(f"n{i}", f"label {i}", vectors[i].tolist(), 0.8, False, "concept", 1.0, 1.0, i) for i in range(2000)], NODES)
+    pairs = sorted({(int(a), int(b)) for a, b in rnd.integers(0, 2000, (6000, 2)) if a != b})
+    s.state = whatif.no_speculations(Graph(s._held(nodes), s._held(spark.createDataFrame([(f"n{a}", f"n{b}", "causal", None, 1.0, i) for i, (a, b) in enumerate(pairs)], EDGES).fillna({"base_weight": 0.85}))))
+    s.query("first")
+    began = time.perf_counter()
+    warm = {q: s.query(q) for q in ("one", "two", "three", "four")}
+    assert (time.perf_counter() - began) / 4 < 0.1
+    found = path_records(s.paths([*warm])).orderBy("query_id", "rank").collect()
+    assert [(r.rank, r.path, r.conductivity) for r in found] == [(r["rank"], r["path"], r["conductivity"]) for q in warm.values() for r in q]
+    touched = protected_by(s.graph, anchors(s.graph.nodes, s._queries(["first", *warm]), 3))
+    assert {r.node_id for r in s.graph.nodes.where("protected").collect()} == {r.node_id for r in touched.collect()}
+    questions = spark.createDataFrame([(0, "one")], "query_id int, query string")
+    assert prompts(questions, path_lines(s.paths(["one"]))).first().prompt == one_prompt("one", warm["one"])
+
+
+def test_demo(spark, tmp_path):
+    out = run_demo(spark, str(tmp_path), "grid", narrator=lambda prompt, max_tokens, temperature: iter(["told: ", prompt[:13]]))
+    assert "paths" in out and "told: <|im_start|>u" in out and "rolled back" in out and "observation_nodes_evaluated" in out
+    assert load_narrator(None) is None and load_narrator("/no/such.gguf") is None
+    s = Session(spark, str(tmp_path / "s"), HashEmbedder(8))
+    assert "not saved" in safe_save(s, str(tmp_path)) and "nodes_saved" in safe_save(s, str(tmp_path / "new" / "lib.json"))

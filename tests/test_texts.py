@@ -17,7 +17,7 @@ from graphloom.operators.extraction import STOP_WORDS, concept_edges, concept_no
 from graphloom.plans.catalogue import QUERIES
 from graphloom.plans.ingest import document_rows, report_lines, report_totals, simple_rows, simple_sentences
 from graphloom.plans.narration import narrate, path_lines, prompts
-from graphloom.sources.documents import flat_texts, parse_file, parse_html, parse_markdown, read_documents, read_folder, sectionise_blocks
+from graphloom.sources.documents import flat_texts, parse_file, parse_html, parse_markdown, read_documents, read_folder, read_texts, sectionise_blocks
 from graphloom.streaming.watch import Watcher, debounce, debounce_stream, list_files
 from pyspark.sql import functions as F
 
@@ -130,6 +130,33 @@ def test_pdf_blocks_to_sections(spark):
     assert [(r.heading, r.level, r.page) for r in out] == [("Paper", 1, 1), ("Methods", 2, 2)] and out[1].body.count("\n") == 1
 
 
+def test_pdf_by_characters(monkeypatch):
+    """The body's size is that of most characters, not of most blocks; without sizes or sections the whole text is one section."""
+    from graphloom.sources import documents as d
+
+    body = "A long block of body text that has many characters of one size."
+    blocks = [(1, 0, "Paper", [20.0] * 5), (1, 1, body, [10.0] * 60), (1, 2, "7", [9.0]), (1, 3, "note", [9.0] * 4), (1, 4, "last", [9.0] * 4), (2, 0, "Methods", [12.0] * 7), (2, 1, body, [10.0] * 60)]
+    monkeypatch.setattr(d, "pdf_blocks", lambda data: blocks)
+    monkeypatch.setattr(d, "pdf_text", lambda data: "all of it")
+    assert [(s["heading"], s["level"], s["page"], s["body"]) for s in d.parse_pdf(b"")["sections"]] == [("Paper", 1, 1, body), ("Methods", 2, 2, body)]
+    monkeypatch.setattr(d, "pdf_blocks", lambda data: [(1, 0, "x", [])])
+    assert d.parse_pdf(b"")["sections"][0]["body"] == "all of it"
+
+    def fails(data):
+        raise ValueError("layout")
+
+    monkeypatch.setattr(d, "pdf_blocks", fails)
+    assert d.parse_pdf(b"")["sections"][0]["body"] == "all of it"
+
+
+def test_flat_texts_of_files(spark, tmp_path):
+    for name, data in {"empty.txt": b"", "a [1].md": b"# Head\nBody \xff", "b.xyz": b"no", "c.docx": b"broken", "d.ics": ICS.encode()}.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r.path.rsplit("/", 1)[1]: r.text for r in read_texts(spark, [str(p) for p in tmp_path.iterdir()] + [str(tmp_path / "gone.txt")]).collect()}
+    assert set(found) == {"empty.txt", "a [1].md", "d.ics"} and found["empty.txt"] == "" and found["a [1].md"] == "# Head\nBody "
+    assert read_texts(spark, []).count() == 0
+
+
 def test_extraction(spark):
     chunks = spark.createDataFrame([("d", 0, 0, "The solar panel converts light because the Grid Company needs power. It is made of glass and metal. Then we left")], "doc_id string, section_no int, position int, text string")
     found = phrases(chunks)
