@@ -33,7 +33,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The faster library's pattern engine fails on a white-space run of a million characters; runs of this length are merged here.
 LONG_RUN = 500_000
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_LONG_SPACE = regex.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}+")
+_SPACES = regex.compile(f"{_SPACE}++")
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -92,7 +92,9 @@ class IdEncoder:
         if len(text) < LONG_RUN:
             return self.merge(text)
         out, at = [], 0
-        for run in _LONG_SPACE.finditer(text):
+        for run in _SPACES.finditer(text):
+            if run.end() - run.start() < LONG_RUN:
+                continue
             end = run.end() - (run.end() < len(text))
             out += self.merge(text[at : run.start()])
             out += self.merge_long(text[run.start() : end].encode())
