@@ -243,3 +243,24 @@ def test_small_and_large_graphs_give_the_same_paths(spark, monkeypatch):
     small = rows()
     monkeypatch.setattr(traversal, "LOCAL_HOPS", 0)
     assert rows() == small and len(small) > 30
+
+
+def test_facts_of_hot_keys(spark, monkeypatch):
+    from graphloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    rows = spark.range(300).selectExpr("CASE WHEN id < 100 THEN 1 WHEN id < 111 THEN 2 ELSE id END AS key", "id")
+    facts = rows.where("key < 290").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    out = skew.join_facts(rows, facts, "key", "n", 300)
+    assert out.columns == ["key", "id", "first", "last"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(facts, "key").select("key", "id", "first", "last").collect()))
+
+
+def test_components_of_stars_and_chains(spark, tmp_path):
+    from graphloom.operators.components import connected_components
+    from graphloom.scratch import Scratch
+
+    links = [(0, i) for i in range(2000, 6000)] + [(i, i + 1) for i in range(7000, 7300)] + [(9000 - i, 9001) for i in range(1, 50)] + [(5, 5)]
+    out = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()
+    assert {r.component for r in out} == {0, 7000, 8951} and len(out) == 4001 + 301 + 50
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
