@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.operators.skew import join_facts
 from graphloom.llm.batches import slices
 from graphloom.scratch import Scratch
 from graphloom.llm.shingles import band_keys, fast_similarity_sketch, set_key, shingle_hashes
@@ -66,8 +67,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = classes.select(F.col("rep").alias("doc_id")).unionByName(several)
     reps = whole.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     buckets = scratch.table(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct())
-    stars = scratch.table(buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
-    shared = scratch.table(buckets.join(stars, "key").select("key", "id", "least"))
+    stars = scratch.table(buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("ids")).where("least < most").drop("most"))
+    shared = scratch.table(join_facts(buckets, stars, "key", "ids", buckets.count()).select("key", "id", "least"))
     scratch.drop(buckets)
     sets = scratch.table(_sets(texts, shared.select("id").distinct(), width))
     first = scratch.table(_confirm(shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), sets, percent))
@@ -133,8 +134,8 @@ def _crowded(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     """(key, id, component, major) of the buckets that hold more than one component; major: of the bucket's commonest one."""
     placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    return scratch.table(placed.join(mixed.select("key", F.col("top.component").alias("top")), "key").select("key", "id", "component", (F.col("component") == F.col("top")).alias("major")))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("ids")).where("components > 1")
+    return scratch.table(join_facts(placed, mixed.select("key", F.col("top.component").alias("top"), "ids"), "key", "ids", shared.count()).select("key", "id", "component", (F.col("component") == F.col("top")).alias("major")))
 
 
 def _rest_links(crowded: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -146,10 +147,11 @@ def _rest_links(crowded: DataFrame, sets: DataFrame, percent: int, scratch: Scra
     """
     rows = scratch.table(crowded.join(sets.select("id", "k", "n"), "id"))
     blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = rows.groupBy("key").agg(blocks(F.lit(True)).alias("all"), blocks(~F.col("major")).alias("minor"), blocks(F.col("major")).alias("most"))
-    together = max(1, rows.count() // BLOCK_DOCS)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("ids"), blocks(F.lit(True)).alias("all"), blocks(~F.col("major")).alias("minor"), blocks(F.col("major")).alias("most"))
+    total = rows.count()
+    together = max(1, total // BLOCK_DOCS)
     one = F.col("all") <= 1
-    rows = rows.join(sizes, "key").select("id", "k", "key", F.when(one, F.pmod(F.xxhash64("key"), F.lit(together))).otherwise(F.col("key")).alias("grp"), one.alias("one"), F.when(one, F.lit(False)).otherwise(F.col("major")).alias("major"), F.when(one, 1).otherwise(F.col("minor")).alias("minor"), F.when(one, 0).otherwise(F.col("most")).alias("most"), "component")
+    rows = join_facts(rows, sizes, "key", "ids", total).select("id", "k", "key", F.when(one, F.pmod(F.xxhash64("key"), F.lit(together))).otherwise(F.col("key")).alias("grp"), one.alias("one"), F.when(one, F.lit(False)).otherwise(F.col("major")).alias("major"), F.when(one, 1).otherwise(F.col("minor")).alias("minor"), F.when(one, 0).otherwise(F.col("most")).alias("most"), "component")
     deal = lambda n: F.pmod(F.xxhash64("id", "k"), n)
     rows = rows.withColumn("block", F.when(F.col("major"), F.col("minor") + deal(F.greatest("most", F.lit(1)))).otherwise(deal("minor")).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("major"), F.col("minor") - 1).otherwise(F.col("minor") + F.col("most") - 1))
