@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import Config
+from graphloom.functions.embedding import HashEmbedder
 from graphloom.functions import texts as t
 from graphloom.functions.vectors import cosine, doubles, refine
 from graphloom.operators import ensemble, lifecycle, traversal, whatif
@@ -18,6 +19,7 @@ from graphloom.operators.extraction import concept_edges, concept_nodes, heading
 from graphloom.operators.similarity import anchors, similar_nodes, similarity_join, window_edges
 from graphloom.plans.ingest import simple_rows, simple_sentences
 from graphloom.plans.narration import CHAT, TASK, path_lines, path_records, prompts
+from graphloom.plans.session import Session
 from graphloom.session import held, shared_folder, table
 from graphloom.sources.documents import html_facts
 from graphloom.sources.library import load_library, save_library
@@ -139,11 +141,6 @@ def unmatched_nodes(spark, d):
     return lifecycle.unmatched(nodes, lifecycle.match(nodes, patterns(spark, d), MATCH)).select("node_id")
 
 
-@query(f"WITH {GRAPH} SELECT query_id AS label, i::INT AS i, round(c[i], 6) AS mean FROM (SELECT query_id, c, unnest(range(1, len(c) + 1)) AS i FROM centroids)")
-def centroid_mean(spark, d):
-    return label_centroids(spark, d).select(F.col("query_id").alias("label"), F.posexplode("vector").alias("i", "m")).select("label", (F.col("i") + 1).alias("i"), r6("m").alias("mean"))
-
-
 @query(f"WITH {GRAPH}, moved AS (SELECT vec_id, list_transform(range(1, len(c) + 1), lambda i: c[i] * 0.95::DOUBLE + e[i] * 0.05::DOUBLE) AS x FROM v JOIN centroids ON query_id = label) SELECT vec_id, round(x[1] / sqrt(list_dot_product(x, x)), 6) AS first, round(list_cosine_similarity(x, e), 6) AS alignment FROM moved JOIN v USING (vec_id)")
 def refine_centroid(spark, d):
     rows = vectors(spark, d).join(F.broadcast(label_centroids(spark, d)), F.col("label") == F.col("query_id"))  # one row for each label
@@ -255,12 +252,22 @@ def protect_anchors(spark, d):
     return g.protect_around(graph, anchors(graph.nodes, label_centroids(spark, d))).nodes.select("node_id", "protected")
 
 
-@query()
+# Shortest distances by squaring; a nation lies between two others if it is on a shortest path of theirs (sums of prices do not tie).
+_BETWEEN = (
+    _TPCH
+    + ", d0 AS MATERIALIZED (SELECT src, dst, w AS d FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation), "
+    + ", ".join(f"d{i + 1} AS MATERIALIZED (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d{i} a JOIN d{i} b ON a.dst = b.src GROUP BY 1, 2)" for i in range(5))
+    + ", k AS (SELECT a.dst AS v, count(*) AS k FROM d5 a JOIN d5 b ON a.dst = b.src JOIN d5 c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> a.dst AND b.src <> b.dst AND a.src <> b.dst AND abs(a.d + b.d - c.d) <= 1e-9 * c.d GROUP BY 1)"
+    + ", n AS (SELECT *, coalesce(k, 0) AS times, (SELECT count(*) FROM nation) AS nations FROM nation LEFT JOIN k ON v = n_nationkey)"
+)
+
+
+@query(f"WITH {_BETWEEN} SELECT n_nationkey::VARCHAR AS node_id, round(times / ((nations - 1) * (nations - 2)), 6) AS betweenness FROM n")
 def betweenness_nations(spark, d):
     return g.betweenness(trade_graph(spark, d)).select("node_id", r6("betweenness").alias("betweenness"))
 
 
-@query()
+@query(f"WITH {_BETWEEN} SELECT n_nationkey::VARCHAR AS node_id, lower(n_name) AS label, n_nationkey = 0 AS protected FROM n WHERE n_nationkey = 0 OR n_nationkey NOT IN (SELECT n_nationkey FROM n WHERE n_nationkey <> 0 ORDER BY times, n_nationkey LIMIT (SELECT count(*) - 15 FROM nation))")
 def prune_nations(spark, d):
     return g.prune(trade_graph(spark, d), 15).nodes.select("node_id", "label", "protected")
 
@@ -447,7 +454,18 @@ def confirmation_histogram(spark, d):
     return lifecycle.confirmation_report(each)
 
 
-@query()
+_FOLD = """
+seq AS MATERIALIZED (SELECT 'v' || vec_id AS label, e, row_number() OVER (ORDER BY vec_id) AS k FROM v),
+fold AS (
+  SELECT 0::BIGINT AS k, []::DOUBLE[][] AS cs, []::BIGINT[] AS ns, []::VARCHAR[][] AS ls
+  UNION ALL
+  SELECT k, CASE WHEN p IS NULL THEN cs || [e] ELSE cs[1 : p - 1] || [list_transform(range(1, len(e) + 1), lambda j: (cs[p][j] * ns[p] + e[j]) / (ns[p] + 1))] || cs[p + 1 :] END,
+    CASE WHEN p IS NULL THEN ns || [1] ELSE ns[1 : p - 1] || [ns[p] + 1] || ns[p + 1 :] END, CASE WHEN p IS NULL THEN ls || [[label]] ELSE ls[1 : p - 1] || [list_append(ls[p], label)] || ls[p + 1 :] END
+  FROM (SELECT s.k, cs, ns, ls, e, label, nullif(list_position(list_transform(cs, lambda c: list_cosine_similarity(c, e) >= 0.35::DOUBLE), true), 0) AS p FROM fold JOIN seq s ON s.k = fold.k + 1)
+), done AS (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM (SELECT * FROM fold ORDER BY k DESC LIMIT 1))"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {_FOLD} SELECT ns[i]::INT AS confirmation_count, array_to_string(ls[i][-5:], ',') AS labels, round(cs[i][1], 6) AS first FROM done")
 def observe_fold(spark, d):
     nodes = vector_graph(spark, d).nodes
     start = lifecycle.empty_library(spark).observations
@@ -509,12 +527,31 @@ def chunk_quality(spark, d):
     return quality(chunk_documents(table(spark, d, "documents")))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title FROM pages")
+def _unescaped(x: str) -> str:
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "\'\'"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{mark}')"
+    return f"regexp_replace({x}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+
+
+_HIDDEN = "coalesce(html, '')"
+for _tag in ("script", "style", "title", "nav", "footer", "header", "aside"):
+    _HIDDEN = f"regexp_replace({_HIDDEN}, '<{_tag}[^>]*>.*?</{_tag}>', '<x>', 'gs')"
+_HIDDEN = f"regexp_replace({_HIDDEN}, '<!--.*?-->', '<x>', 'gs')"
+# What is seen, as the runs before, between and after level-one headings; each run's texts are what lies between its tags.
+_SEEN = f"""
+runs AS (SELECT page_id, unnest(range(1, len(r) + 1)) AS i, r FROM (SELECT page_id, string_split({_HIDDEN}, '<h1>') AS r FROM pages)),
+parts AS (SELECT page_id, i, CASE WHEN i > 1 THEN string_split(r[i], '</h1>')[1] ELSE '' END AS head, CASE WHEN i > 1 THEN string_split(r[i], '</h1>')[2] ELSE r[i] END AS rest FROM runs),
+words AS (SELECT page_id, i, {_unescaped("regexp_replace(head, '<[^>]*>', '', 'g')")} AS heading, array_to_string(list_filter(list_transform(string_split_regex(rest, '<[^>]*>'), lambda x: {_unescaped("x")}), lambda x: x <> ''), ' ') AS body FROM parts),
+said AS (SELECT page_id, string_agg(heading, '|' ORDER BY i) AS headings, count(*) AS n, sum(length(body)) AS chars FROM words WHERE body <> '' GROUP BY page_id)"""
+_TITLE = _unescaped("regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)")
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("raw_title"))
+    return html_facts(table(spark, d, "pages")).select("page_id", "title")
 
 
-@query()
+@query(f"WITH {_SEEN} SELECT p.page_id, {_TITLE} AS title, coalesce(headings, '') AS headings, coalesce(n, 0)::INT AS n_sections, coalesce(chars, 0)::BIGINT AS body_chars FROM pages p LEFT JOIN said s ON s.page_id = p.page_id")
 def html_sections(spark, d):
     return html_facts(table(spark, d, "pages"))
 
@@ -541,23 +578,6 @@ def debounce_events(spark, d):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("passed"), F.max(micros(out, "ts")).alias("last_us"))
 
 
-@query("SELECT conv_id, a.turn AS turn, a.role AS role, b.role AS next_role FROM conversations a JOIN conversations b USING (conv_id) WHERE b.turn = a.turn + 1")
-def turn_pairs(spark, d):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(order).alias("next_role"), F.lead("turn").over(order).alias("nt"))
-    return rows.where("nt = turn + 1").select("conv_id", "turn", "role", "next_role")
-
-
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def benchmark_passages(spark, d):
-    """Documents that hold a benchmark text: found by one shared word of each item, then compared in full, without pairing all with all."""
-    items = table(spark, d, "benchmark").where("length(text) > 0")
-    words = lambda c: F.split(c, r"[^A-Za-z]+")
-    keys = items.select("item_id", F.col("text").alias("item"), F.element_at(F.array_sort(F.slice(words(F.col("text")), 2, 200), lambda a, b: F.length(b) - F.length(a)), 1).alias("word"))
-    docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    return docs.join(keys, "word").where(F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
-
-
 @query(f"WITH {GRAPH} SELECT 'v' || a.vec_id AS node_id, 'p' || query_id AS pattern_id, round(list_cosine_similarity(a.e, c), 6) AS similarity FROM v a, centroids WHERE list_cosine_similarity(a.e, c) >= 0.2::DOUBLE")
 def similarity_join_blocks(spark, d):
     left = vector_graph(spark, d).nodes.select("node_id", F.col("embedding").alias("v"))
@@ -594,14 +614,66 @@ def heading_anchor_edges(spark, d):
     return edges.select("doc_id", "src", "edge_type", weight.alias("base_weight"))
 
 
-@query(f"WITH {GRAPH} SELECT 'p' || query_id AS node_id, len(c)::INT AS size, round(c[1], 6) AS first, (query_id + 1)::INT AS session_count FROM centroids")
+@query(f"""WITH {GRAPH}, {_DIST}, o AS (SELECT event_type, sum(n) AS c, count(*) AS users FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT 'pattern' AS kind, 'p' || query_id AS id, len(c)::BIGINT AS size, round(c[1], 6) AS first, (query_id + 1)::BIGINT AS n FROM centroids
+UNION ALL SELECT 'observation', event_type, users::BIGINT, 1, c::BIGINT FROM o UNION ALL SELECT 'session', obs_id, len(degrees)::BIGINT, degrees[1], row_number() OVER (PARTITION BY obs_id ORDER BY session_no) FROM dist""")
 def library_roundtrip(spark, d):
-    """Patterns saved to the library's file and loaded again."""
+    """Patterns, observations and sessions saved to the library's file and loaded again."""
     p = label_centroids(spark, d).select(F.concat(F.lit("p"), "query_id").alias("node_id"), F.col("vector").alias("pattern_embedding"), (F.col("query_id") + 1).cast("int").alias("session_count"), F.lit(0.5).alias("diversity_score"), F.lit(True).alias("is_generalised"), F.lit("infrastructure").alias("attention_mode"), F.lit(0).alias("reactivation_count"))
+    path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}.json"
+    save_library(lifecycle.Library(p, _observations(spark, d), _sessions(spark, d)), path, "2024-01-01T00:00:00+00:00")
+    back = load_library(spark, path)
+    row = lambda frame, kind, name, size, first, n: frame.select(F.lit(kind).alias("kind"), F.col(name).alias("id"), F.size(size).cast("long").alias("size"), r6(F.element_at(first, 1)).alias("first"), F.col(n).cast("long").alias("n"))
+    out = row(back.structural, "pattern", "node_id", "pattern_embedding", "pattern_embedding", "session_count")
+    return out.unionByName(row(back.observations, "observation", "node_id", "entity_firing_counts", "pattern_embedding", "confirmation_count")).unionByName(row(back.distributions, "session", "obs_id", "degrees", "degrees", "session_no"))
+
+
+_ENDED = _DIST.replace("dist AS MATERIALIZED (SELECT obs_id", "dist AS MATERIALIZED (SELECT obs_id, 99 AS session_no, [1, 2, 3]::DOUBLE[] AS degrees FROM (SELECT DISTINCT obs_id FROM days) UNION ALL SELECT obs_id")
+_JUDGED = f"{_ENDED}, spread AS (SELECT p.obs_id, avg(coalesce(w, 0)) AS dv FROM pairs p LEFT JOIN area r ON r.obs_id = p.obs_id AND r.a = p.a AND r.b = p.b GROUP BY 1), o AS (SELECT event_type, sum(n) AS c, max(n) / sum(n) AS share FROM (SELECT event_type, user_id, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2) GROUP BY 1), judged AS (SELECT event_type, dv, c >= 5 AND least(1, c / 10) * dv >= 0.4 AND share < 0.6 AND ascii(event_type) % 2 = 0 AS ready FROM o JOIN spread ON obs_id = event_type)"
+
+
+@query(f"WITH {_JUDGED} SELECT event_type AS node_id, CASE WHEN ready THEN 'pattern' ELSE 'observation' END AS becomes, 8 AS sessions, round(dv, 6) AS diversity_score FROM judged")
+def post_session_promote(spark, d):
+    """A session's end: observations that have been confirmed often and in sessions of many kinds become patterns; half of them are too few to be judged so."""
+    half = F.ascii("node_id") % 2 == 0
+    observations = _observations(spark, d).withColumn("entity_firing_counts", F.when(half, F.col("entity_firing_counts")).otherwise(F.create_map(F.lit("one"), F.lit(9))))
+    degrees = spark.createDataFrame([([1.0, 2.0, 3.0],)], "degrees array<double>")
     empty = lifecycle.empty_library(spark)
-    path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
-    save_library(lifecycle.Library(p, empty.observations, empty.distributions), path, "2024-01-01T00:00:00+00:00")
-    return load_library(spark, path).structural.select("node_id", F.size("pattern_embedding").alias("size"), r6(F.element_at("pattern_embedding", 1)).alias("first"), "session_count")
+    after, _ = lifecycle.post_session(lifecycle.Library(empty.structural, observations, _sessions(spark, d)), degrees)
+    made = after.structural.select("node_id", F.lit("pattern").alias("becomes"), F.col("session_count").alias("sessions"), r6("diversity_score").alias("diversity_score"))
+    return made.unionByName(after.observations.select("node_id", F.lit("observation").alias("becomes"), F.col("sessions_active").alias("sessions"), r6("diversity_score").alias("diversity_score")))
+
+
+_REFINED = f"""{_MATCH}, inside AS MATERIALIZED (SELECT m.pattern_id, e, row_number() OVER (PARTITION BY pattern_id ORDER BY m.ord) AS k FROM m JOIN nodes USING (node_id) WHERE s > {BAND_LOW}::DOUBLE AND s < {BAND_HIGH}::DOUBLE),
+moved AS (SELECT 'p' || query_id AS pattern_id, 0::BIGINT AS k, c FROM centroids UNION ALL
+  SELECT pattern_id, k, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) FROM (SELECT moved.pattern_id, i.k, list_transform(range(1, len(c) + 1), lambda j: c[j] * 0.95::DOUBLE + i.e[j] * 0.05::DOUBLE) AS x FROM moved JOIN inside i ON i.pattern_id = moved.pattern_id AND i.k = moved.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {_REFINED} SELECT pattern_id AS node_id, max(k)::INT AS reactivation_count, round(arg_max(c, k)[1], 6) AS first, round(arg_max(c, k)[2], 6) AS second FROM moved GROUP BY pattern_id")
+def refine_reactivated(spark, d):
+    """Every pattern moves a little towards each vector in the band around it, one after the other."""
+    contents = vector_graph(spark, d).nodes.select("node_id", "embedding", "ord")
+    out = lifecycle.refine_all(_structural(spark, d), contents, Config(reactivation_low=BAND_LOW, reactivation_high=BAND_HIGH))
+    return out.select("node_id", "reactivation_count", r6(F.element_at("pattern_embedding", 1)).alias("first"), r6(F.element_at("pattern_embedding", 2)).alias("second"))
+
+
+def _structural(spark, d) -> DataFrame:
+    return patterns(spark, d).select("node_id", "pattern_embedding", F.lit(1).alias("session_count"), F.lit(0.5).alias("diversity_score"), F.lit(True).alias("is_generalised"), F.lit("infrastructure").alias("attention_mode"), F.lit(0).alias("reactivation_count"))
+
+
+_UNLIKE = 1.5  # no two vectors are so alike: each unmatched node is an observation of its own
+
+
+@query(f"WITH {GRAPH}, {_MATCH}, hit AS (SELECT DISTINCT node_id FROM m WHERE s >= {MATCH}::DOUBLE) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM hit) AS structural_firings, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM hit) AS observation_nodes, (SELECT round(sum(activation), 6) FROM (SELECT least(1, activation + 0.15::DOUBLE * coalesce(max(s) FILTER (s >= {MATCH}::DOUBLE), 0)) AS activation FROM m GROUP BY node_id, activation)) AS activation")
+def session_ingest(spark, d):
+    """A session takes a graph in: nodes and edges merge, new nodes are shaped by the library, what it does not know is observed."""
+    library = lifecycle.Library(_structural(spark, d), *(getattr(lifecycle.empty_library(spark), n) for n in ("observations", "distributions")))
+    config = Config(max_nodes=1 << 40, structural_match_threshold=MATCH, observation_merge_threshold=_UNLIKE)
+    session = Session(spark, f"{shared_folder(spark)}/session-{uuid.uuid4().hex}", HashEmbedder(8), config, library)
+    graph = vector_graph(spark, d)
+    out = session.ingest_graph(graph.nodes, graph.edges)
+    total = session.graph.nodes.agg(F.sum("activation").alias("activation"))
+    return total.select(*(F.lit(out[c]).cast("long").alias(c) for c in ("nodes", "edges", "structural_firings", "observation_nodes")), r6("activation").alias("activation"))
 
 
 @query("SELECT count(DISTINCT event_type) AS observation_nodes_evaluated, 0::BIGINT AS nodes_promoted, 0::BIGINT AS nodes_still_in_observation, count(DISTINCT event_type) AS stale_nodes_pruned FROM events")
