@@ -27,7 +27,7 @@ from graphloom.llm.batches import parts
 from graphloom.scratch import Scratch
 
 #: Documents of one length are dealt to parts of about so many while they are ranked, for a length may hold a third of all rows; and how many parts there are about at most.
-PART_ROWS, MOST_PARTS = 4096, 65_536
+PART_ROWS, MOST_PARTS = 512, 65_536
 #: The pattern that splits text before the merges of the byte-level vocabulary (fixed).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The faster library's pattern engine fails on a white-space run of a million characters; runs of this length are merged here.
