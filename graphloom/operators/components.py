@@ -13,8 +13,8 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each replaces links by links to the smallest
     neighbour, which takes a number of rounds that grows with the logarithm of a component's size, whatever its shape.
-    Every step is an aggregation with partial sums and an equi-join; the links of a star's centre, two numbers each, meet in one task. A round that changes nothing ends it; what the rounds hold is told apart by their
-    number of links and two 64-bit sums. Empty input gives no rows; self-links count for nothing.
+    Every step is an aggregation with partial sums and an equi-join; the links of a star's centre, two numbers each, meet in
+    one task. A round that changes nothing ends it; what the rounds hold is told apart by their number of links and two 64-bit sums. Empty input gives no rows; self-links count for nothing.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = scratch.table(edges)
