@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from graphloom.functions.texts import PRONOUNS, causal_verbs, edge_type, is_label, sentences, strip
 
 STOP_WORDS = sorted({*"a an the and or nor of in on at to from by with for as is are was were be been being has have had do does did will would can could may might shall should must not no so if than into over under about between through during because since therefore thus hence however but although despite yet whereas such including then before after first next finally".split(), *PRONOUNS})
-_CUTS = r"(?iU)(?<![\w'])(?:" + "|".join(STOP_WORDS) + r")(?![\w'])|[^\w\s'\-]+"
+# by first letters, so that most words are passed over after one
+_BY_LETTER = "|".join(first + "(?:" + "|".join(w[1:] for w in STOP_WORDS if w[0] == first) + ")" for first in sorted({w[0] for w in STOP_WORDS}))
+_CUTS = r"(?iU)(?<![\w'])(?:" + _BY_LETTER + r")(?![\w'])|[^\w\s'\-]+"
 
 
 def phrases(chunks: DataFrame) -> DataFrame:
-    """(doc_id, section_no, position, sentence_no, sentence, phrase_no, label, is_entity) of chunks; labels in lower case; those too short and pronouns keep their place but have a null label."""
-    cut = chunks.select("doc_id", "section_no", "position", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    parts = F.filter(F.transform(F.split("sentence", _CUTS), strip), lambda p: p != "")
-    rows = cut.select("doc_id", "section_no", "position", "sentence_no", "sentence", F.posexplode(parts).alias("phrase_no", "phrase"))
-    label = F.lower("phrase")
-    entity = F.col("phrase").rlike(r"^\p{Lu}") & ~F.startswith(F.col("sentence"), F.col("phrase"))
-    return rows.select("doc_id", "section_no", "position", "sentence_no", "sentence", "phrase_no", F.when(is_label(label), label).alias("label"), entity.alias("is_entity"))
+    """(doc_id, section_no, position, sentence_no, sentence, edge_type, phrase_no, label, following, is_entity) of chunks; labels in lower case; those too short and pronouns keep their place but have a null label.
+
+    edge_type: of the sentence, null where it has a single phrase; following: the label of the sentence's next phrase, null at its end.
+    """
+    # outer: below an inner generator the optimiser would filter by the arrays' sizes and so make them twice
+    cut = chunks.select("doc_id", "section_no", "position", F.posexplode_outer(sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    cut = cut.withColumn("phrases", F.filter(F.transform(F.split("sentence", _CUTS), strip), lambda p: p != ""))
+    cut = cut.withColumn("labels", F.transform("phrases", lambda p: F.when(is_label(F.lower(p)), F.lower(p))))
+    # an edge type for each sentence, before its phrases become rows
+    cut = cut.withColumn("edge_type", F.when(F.size("phrases") > 1, edge_type(F.col("sentence"), causal_verbs(F.col("sentence")))))
+    following = F.concat(F.slice("labels", 2, F.greatest(F.size("labels"), F.lit(1))), F.array(F.lit(None).cast("string")))
+    cut = cut.withColumn("p", F.arrays_zip(F.col("phrases").alias("phrase"), F.col("labels").alias("label"), following.alias("following")))
+    rows = cut.select("doc_id", "section_no", "position", "sentence_no", "sentence", "edge_type", F.posexplode_outer("p").alias("phrase_no", "p"))
+    entity = F.col("p.phrase").rlike(r"^\p{Lu}") & ~F.startswith(F.col("sentence"), F.col("p.phrase"))
+    rows = rows.where("p.phrase IS NOT NULL")
+    return rows.select("doc_id", "section_no", "position", "sentence_no", "sentence", "edge_type", "phrase_no", "p.label", "p.following", entity.alias("is_entity"))
 
 
 def node_id(doc_id, label):
@@ -33,12 +44,8 @@ def concept_nodes(found: DataFrame) -> DataFrame:
 
 
 def concept_edges(found: DataFrame) -> DataFrame:
-    """(doc_id, section_no, position, sentence_no, phrase_no, src, dst, edge_type): neighbouring phrases of a sentence; one without a label breaks the chain."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("doc_id", "section_no", "position", "sentence_no").orderBy("phrase_no")
-    typed = found.select("doc_id", "section_no", "position", "sentence_no", "phrase_no", "label", edge_type(F.col("sentence"), causal_verbs(F.col("sentence"))).alias("edge_type"))  # sentences stay out of the shuffle
-    rows = typed.withColumn("following", F.lead("label").over(order)).where("label IS NOT NULL AND following IS NOT NULL AND label != following")
+    """(doc_id, section_no, position, sentence_no, phrase_no, src, dst, edge_type) of phrases: neighbouring phrases of a sentence; one without a label breaks the chain."""
+    rows = found.where("label IS NOT NULL AND following IS NOT NULL AND label != following")
     return rows.select("doc_id", "section_no", "position", "sentence_no", "phrase_no", node_id(F.col("doc_id"), F.col("label")).alias("src"), node_id(F.col("doc_id"), F.col("following")).alias("dst"), "edge_type")
 
 
