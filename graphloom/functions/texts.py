@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are no labels, and the cues of each edge type.
-PRONOUNS = "it they this that we you i he she its their our your his her which who".split()
+PRONOUNS = ["it", "they", "this", "that", "we", "you", "i", "he", "she", "its", "their", "our", "your", "his", "her", "which", "who"]
 CAUSAL_MARKS = ["because", "since", "therefore", "thus", "hence", "consequently", "so that", "as a result"]
 CONTRAST_MARKS = ["however", "but", "although", "despite", "yet", "whereas", "nevertheless", "on the other hand"]
 CONSTITUTIVE_MARKS = ["such as", "including", "for example", "namely", "consists of", "made of", "part of"]
@@ -43,12 +43,13 @@ def first_words(text: Column, n: int = 6) -> Column:
     return F.lower(F.array_join(F.slice(F.split(strip(text), r"\s+"), 1, n), " "))
 
 
-def edge_type(sentence: Column, verbs: Column | None = None) -> Column:
+def edge_type(sentence: Column, verbs: Column | None = None, lowered: bool = False) -> Column:
     """The type of the edges of a sentence: the first kind of cue that it holds anywhere, also inside words.
 
     verbs: the sentence's words in base form, if known; a causal verb among them decides where no cue does.
+    lowered: the sentence is in lower case already.
     """
-    text = F.lower(sentence)
+    text = sentence if lowered else F.lower(sentence)
     has = lambda marks: reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in marks))
     out = F.when(has(CAUSAL_MARKS), "causal").when(has(CONTRAST_MARKS), "contrastive").when(has(CONSTITUTIVE_MARKS), "constitutive").when(has(SEQUENCE_MARKS), "sequential")
     if verbs is not None:
@@ -56,12 +57,12 @@ def edge_type(sentence: Column, verbs: Column | None = None) -> Column:
     return out.otherwise("semantic")
 
 
-def causal_verbs(sentence: Column) -> Column:
+def causal_verbs(sentence: Column, lowered: bool = False) -> Column:
     """The base forms of the causal verbs among the sentence's words, for edge_type.
 
     There is no tagger: a form right after an article or a possessive is taken as a noun, any other as a verb.
     """
-    text = F.lower(sentence)
+    text = sentence if lowered else F.lower(sentence)
     stem = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in _CAUSAL_STEMS))  # far cheaper than the pattern, which few sentences need
     forms = F.regexp_extract_all(text, F.lit(r"(?U)(?<!\b(?:a|an|the|my|your|his|her|its|our|their)\s{1,3})\b(" + "|".join(CAUSAL_FORMS) + r")\b"), F.lit(1))
     base = F.create_map(*(F.lit(x) for pair in CAUSAL_FORMS.items() for x in pair))

@@ -10,6 +10,7 @@ from graphloom.functions.texts import PRONOUNS, causal_verbs, edge_type, is_labe
 STOP_WORDS = sorted({*"a an the and or nor of in on at to from by with for as is are was were be been being has have had do does did will would can could may might shall should must not no so if than into over under about between through during because since therefore thus hence however but although despite yet whereas such including then before after first next finally".split(), *PRONOUNS})
 # by first letters, so that most words are passed over after one
 _BY_LETTER = "|".join(first + "(?:" + "|".join(w[1:] for w in STOP_WORDS if w[0] == first) + ")" for first in sorted({w[0] for w in STOP_WORDS}))
+_BLANKS = " \t\n\x0b\f\r\u00a0"  # what strip takes off
 _CUTS = r"(?iU)(?<![\w'])(?:" + _BY_LETTER + r")(?![\w'])|[^\w\s'\-]+"
 
 
@@ -20,10 +21,11 @@ def phrases(chunks: DataFrame) -> DataFrame:
     """
     # outer: below an inner generator the optimiser would filter by the arrays' sizes and so make them twice
     cut = chunks.select("doc_id", "section_no", "position", F.posexplode_outer(sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    cut = cut.withColumn("phrases", F.filter(F.transform(F.split("sentence", _CUTS), strip), lambda p: p != ""))
-    cut = cut.withColumn("labels", F.transform("phrases", lambda p: F.when(is_label(F.lower(p)), F.lower(p))))
+    cut = cut.withColumn("phrases", F.filter(F.transform(F.split("sentence", _CUTS), lambda p: F.btrim(p, F.lit(_BLANKS))), lambda p: p != ""))
+    cut = cut.withColumn("labels", F.transform(F.transform("phrases", F.lower), lambda p: F.when(is_label(p), p)))
+    cut = cut.withColumn("lowered", F.lower("sentence"))  # once, not for each cue
     # an edge type for each sentence, before its phrases become rows
-    cut = cut.withColumn("edge_type", F.when(F.size("phrases") > 1, edge_type(F.col("sentence"), causal_verbs(F.col("sentence")))))
+    cut = cut.withColumn("edge_type", F.when(F.size("phrases") > 1, edge_type(F.col("lowered"), causal_verbs(F.col("lowered"), True), True)))
     following = F.concat(F.slice("labels", 2, F.greatest(F.size("labels"), F.lit(1))), F.array(F.lit(None).cast("string")))
     cut = cut.withColumn("p", F.arrays_zip(F.col("phrases").alias("phrase"), F.col("labels").alias("label"), following.alias("following")))
     rows = cut.select("doc_id", "section_no", "position", "sentence_no", "sentence", "edge_type", F.posexplode_outer("p").alias("phrase_no", "p"))
