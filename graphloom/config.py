@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The parameters' defaults.
 @dataclass(frozen=True)
 class Config:
     max_nodes: int = 200
