@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphloom.config import Config
 from graphloom.functions.vectors import TINY, norm
 from graphloom.operators.components import connected_components
-from graphloom.operators.similarity import similarity_join
+from graphloom.operators.similarity import linking_forest, similarity_join
 from graphloom.schemas import OBSERVATIONS, STRUCTURAL
 from graphloom.scratch import Scratch
 from graphloom.session import held
 
+#: New rows that are compared with a group's observations at once, and observations that are put out at once; products that are held at once.
+FOLD_ROWS, FOLD_CELLS = 256, 4_000_000
 DISTRIBUTIONS = "obs_id string, session_no int, degrees array<double>"
 
 
@@ -80,11 +87,11 @@ def observe(observations: DataFrame, nodes: DataFrame, entity_id: str = "unknown
 
     The outcome depends on the order, so this is a fold; but only over nodes and observations that can meet. Whatever joins an observation
     is similar, to the square of the threshold at least, to one of those that make up its centroid (for the centroid of vectors that each
-    joined at a cosine of t has t times their mean length at least). So the nodes' links at the squared threshold are found first, by a
-    similarity join, and each connected group is folded by itself, in order. A new observation's id is a digest of its label and vector.
+    joined at a cosine of t has t times their mean length at least). So a forest of the nodes' links at the squared threshold is found first,
+    never all links, and each connected group is folded by itself, in order, as its rows stream past: what is held is the group's observations.
+    A new observation's id is a digest of its label and vector.
     """
     threshold = config.observation_merge_threshold
-    names = [x.split()[0] for x in OBSERVATIONS.split(", ") if not x.startswith("int>")]
     old = observations.withColumn("_new", F.lit(False)).withColumn("label", F.lit(None).cast("string")).withColumn("_key", F.concat(F.lit("o"), "node_id"))
     new = nodes.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) >= TINY)).select(F.lit(None).cast("string").alias("node_id"), F.col("embedding").alias("pattern_embedding"), F.lit(0).alias("confirmation_count"), F.lit(0.0).alias("diversity_score"), F.lit(0.0).alias("stabilisation_score"), F.lit(0).alias("sessions_active"), F.array().cast("array<string>").alias("example_labels"), F.expr("CAST(map() AS MAP<STRING, INT>)").alias("entity_firing_counts"), F.lit(True).alias("_new"), "label", F.col("ord").cast("long").alias("ord"))
     new = new.withColumn("_key", F.concat(F.lit("n"), F.col("ord").cast("string"), F.lit("|"), F.coalesce("label", F.lit(""))))
@@ -92,34 +99,94 @@ def observe(observations: DataFrame, nodes: DataFrame, entity_id: str = "unknown
     vector = rows.select(F.col("_key").alias("a"), F.col("pattern_embedding").alias("v"))
     fresh = rows.where("_new").select(F.col("_key").alias("b"), F.col("pattern_embedding").alias("v"))
     scratch = Scratch(observations.sparkSession, "observe")
-    links = similarity_join(vector, fresh, threshold * threshold - 1e-9, "a", "b").where("a != b").select("a", "b")
-    groups = scratch.table(connected_components(links, scratch))
-    grouped = rows.join(groups, rows["_key"] == groups["id"], "left").withColumn("_group", F.coalesce("component", "_key"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        there: list[dict] = []
-        for r in rows.sort_values(["_new", "ord", "node_id"]).to_dict("records"):
-            x = np.array(r["pattern_embedding"], dtype=float)
-            if not r["_new"]:
-                there.append(r | {"pattern_embedding": x, "example_labels": list(r["example_labels"]), "entity_firing_counts": dict(r["entity_firing_counts"])})
-                continue
-            if np.linalg.norm(x) < 1e-10:
-                continue
-            near = [(float(x @ o["pattern_embedding"]) / max(1e-10, np.linalg.norm(x) * np.linalg.norm(o["pattern_embedding"])), -i) for i, o in enumerate(there)]
-            enough = [n for n in near if n[0] >= threshold]
-            if enough:
-                o = there[-(max(enough)[1] if mode == "best" else enough[0][1])]
-            else:
-                o = r | {"node_id": hashlib.sha256(f"{r['label']}|{x.tolist()}".encode()).hexdigest()[:32], "pattern_embedding": x, "example_labels": [], "entity_firing_counts": {}}
-                there.append(o)
+    groups = scratch.table(connected_components(linking_forest(vector, fresh, threshold * threshold - 1e-9), scratch))
+    grouped = rows.join(groups, rows["_key"] == groups["id"], "left").withColumn("_group", F.coalesce("component", "_key")).select("_group", *(c for c in new.columns if c != "_key"))
+    schema = to_arrow_schema(StructType.fromDDL(OBSERVATIONS))
+
+    def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        group, there = None, _Fold(threshold, mode, entity_id)
+        for batch in batches:
+            names = batch.column("_group").to_pylist()
+            starts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+            for at, stop in zip(starts, [*starts[1:], len(names)], strict=True):
+                if names[at] != group:
+                    yield from there.rows()
+                    group, there = names[at], _Fold(threshold, mode, entity_id)
+                there.take(batch.slice(at, stop - at))
+        yield from there.rows()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = observed(batches)
+        while some := list(islice(rows, FOLD_ROWS)):
+            yield pa.RecordBatch.from_pylist(some, schema)
+
+    ordered = grouped.repartition("_group").sortWithinPartitions("_group", "_new", F.asc_nulls_last("ord"), F.asc_nulls_last("node_id"), "label")
+    return ordered.mapInArrow(fold, OBSERVATIONS)
+
+
+class _Fold:
+    """The observations of one group, whose vectors have one length, and how they take rows in, in the order of these."""
+
+    def __init__(self, threshold: float, mode: str, entity_id: str):
+        self.threshold, self.mode, self.entity_id = threshold, mode, entity_id
+        self.facts: list[dict] = []
+        self.centres, self.lengths = np.zeros((0, 0)), np.zeros(0)
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        n_old = batch.num_rows - pc.sum(batch.column("_new")).as_py()  # older observations come first
+        for r in batch.slice(0, n_old).to_pylist():
+            self._add(r | {"entity_firing_counts": dict(r["entity_firing_counts"])}, np.array(r["pattern_embedding"], dtype=float))
+        at = n_old
+        while at < batch.num_rows:
+            some = batch.slice(at, max(1, min(FOLD_ROWS, FOLD_CELLS // (len(self.facts) + 1))))
+            at += some.num_rows
+            flat = some.column("pattern_embedding").flatten().to_numpy(zero_copy_only=False).astype(float)
+            self._take_block(flat.reshape(some.num_rows, -1), some.column("label").to_pylist())
+
+    def _take_block(self, block: np.ndarray, labels: list) -> None:
+        """All products with the observations before the block are made at once; only those with observations that the block has changed are made again."""
+        sizes = np.linalg.norm(block, axis=1)
+        before = len(self.facts)
+        self._make_room(before + len(block), block.shape[1])
+        near = np.full((len(block), before + len(block)), -np.inf)
+        near[:, :before] = self._cosines(block, sizes, slice(0, before))
+        changed = np.zeros(before + len(block), dtype=bool)
+        for i, (x, label) in enumerate(zip(block, labels, strict=True)):
+            again = np.flatnonzero(changed)
+            near[i, again] = self._cosines(block[i : i + 1], sizes[i : i + 1], again)[0]
+            own = near[i, : len(self.facts)]
+            at = int(np.argmax(own if self.mode == "best" else own >= self.threshold)) if len(own) else -1
+            if at < 0 or not own[at] >= self.threshold:
+                at = self._add({"node_id": hashlib.sha256(f"{label}|{x.tolist()}".encode()).hexdigest()[:32], "confirmation_count": 0, "diversity_score": 0.0, "stabilisation_score": 0.0, "sessions_active": 0, "example_labels": [], "entity_firing_counts": {}}, x)
+            o = self.facts[at]
             n = o["confirmation_count"]
-            o["pattern_embedding"] = (o["pattern_embedding"] * n + x) / (n + 1)
+            self._move(at, (self.centres[at] * n + x) / (n + 1))
             o["confirmation_count"] = n + 1
-            o["example_labels"] = [*o["example_labels"], r["label"]][-5:]
-            o["entity_firing_counts"][entity_id] = o["entity_firing_counts"].get(entity_id, 0) + 1
-        return pd.DataFrame([{k: (o[k].tolist() if k == "pattern_embedding" else o[k]) for k in names} for o in there], columns=names)
-
-    return grouped.select("_group", *(c for c in new.columns if c != "_key")).groupBy("_group").applyInPandas(fold, OBSERVATIONS)
+            o["example_labels"] = [*o["example_labels"], label][-5:]
+            o["entity_firing_counts"][self.entity_id] = o["entity_firing_counts"].get(self.entity_id, 0) + 1
+            changed[at] = True
+
+    def _cosines(self, block: np.ndarray, sizes: np.ndarray, of: slice | np.ndarray) -> np.ndarray:
+        return block @ self.centres[of].T / np.maximum(1e-10, sizes[:, None] * self.lengths[of])
+
+    def _make_room(self, n: int, width: int) -> None:
+        if n > len(self.centres):
+            more = max(n, 2 * len(self.centres)) - len(self.centres)
+            self.centres = np.vstack([self.centres.reshape(-1, width), np.zeros((more, width))])
+            self.lengths = np.append(self.lengths, np.zeros(more))
+
+    def _add(self, facts: dict, centre: np.ndarray) -> int:
+        self._make_room(len(self.facts) + 1, len(centre))
+        self.facts.append(facts)
+        self._move(len(self.facts) - 1, centre)
+        return len(self.facts) - 1
+
+    def _move(self, at: int, centre: np.ndarray) -> None:
+        self.centres[at], self.lengths[at] = centre, np.linalg.norm(centre)
+
+    def rows(self) -> Iterator[dict]:
+        for o, v in zip(self.facts, self.centres, strict=False):
+            yield o | {"pattern_embedding": v.tolist(), "entity_firing_counts": list(o["entity_firing_counts"].items())}
 
 
 def wasserstein_pairs(distributions: DataFrame) -> DataFrame:

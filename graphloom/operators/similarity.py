@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +49,95 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
     of about that size, one after the other, each dropped after its pass over the left side; nothing is shuffled. A batch's products are made
     together, and only the pairs that pass are emitted. Null and zero vectors match nothing, nor do vectors of another length.
     """
+    left, right = (_measurable(f, i) for f, i in ((left, left_id), (right, right_id)))
+    schema = f"{left_id} {dict(left.dtypes)[left_id]}, {right_id} {dict(right.dtypes)[right_id]}, similarity double"
+
+    def pairs(of_length: Callable[[int], tuple[pa.Array, np.ndarray] | None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n, x in _blocks(batches, left_id):
+            if of_length(n) is None:
+                continue
+            others, unit = of_length(n)
+            for at in range(0, len(others), BLOCK):
+                score = x @ unit[at : at + BLOCK].T
+                i, j = np.nonzero(score >= threshold if below is None else (score > threshold) & (score < below))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), others.take(pa.array(j + at)), pa.array(score[i, j])], [left_id, right_id, "similarity"])
+
+    return _past_slices(left, right, right_id, pairs, schema)
+
+
+def linking_forest(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between left(a, v) and right(b, v) that connect the same ids as all pairs with cosine >= threshold do, but few of them.
+
+    The similarity join with what a task has linked already left out: a task keeps a disjoint-set forest over the right side and its rows, emits a
+    link only where it joins two trees, and skips blocks that lie in one tree. So a task emits fewer links than it has rows on both sides,
+    however alike they are. An id that is on both sides is one vertex.
+    """
+    left, right = _measurable(left, "a"), _measurable(right, "b")
+
+    def links(of_length: Callable[[int], tuple[pa.Array, np.ndarray] | None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents: dict[int, np.ndarray] = {}
+        for ids, n, x in _blocks(batches, "a"):
+            if of_length(n) is None:
+                continue
+            others, unit = of_length(n)
+            held = parents.get(n, np.arange(len(others)))
+            parent = np.concatenate([held, np.arange(len(held), len(held) + len(ids))])  # the batch's rows last
+            name = pa.concat_arrays([others, ids])
+            own = pc.index_in(ids, value_set=others).fill_null(-1).to_numpy(zero_copy_only=False)
+            own = np.where(own < 0, len(others) + np.arange(len(ids)), own)
+            found: list[tuple[int, int]] = []
+            for at in range(0, len(others), BLOCK):
+                theirs = np.arange(at, min(at + BLOCK, len(others)))
+                trees = _roots(parent, np.concatenate([theirs, own]))
+                if (trees == trees[0]).all():
+                    continue
+                hit = x @ unit[at : at + BLOCK].T >= threshold
+                for i in np.flatnonzero(hit.any(axis=1)):
+                    met = np.unique(_roots(parent, np.append(theirs[hit[i]], own[i])))
+                    parent[met] = met[0]
+                    found += [(k, met[0]) for k in met[1:]]
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(a)), name.take(pa.array(b))], ["a", "b"])
+            parents[n] = parent[: len(others)].copy()  # a tree's root is its least vertex, so the batch's rows are nobody's parents
+
+    return _past_slices(left, right, "b", links, "a string, b string").where("a != b")
+
+
+def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The trees of these vertices, whose paths are made short."""
+    root = parent[of]
+    while (root != (above := parent[root])).any():
+        root = above
+    parent[of] = root
+    return root
+
+
+def _measurable(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose vector has a direction, written once."""
+    return held(rows.where(F.col("v").isNotNull() & (norm(F.col("v")) >= TINY)).select(name, F.col("v").cast("array<double>").alias("v")))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """(ids, length, unit vectors) of at most BLOCK rows whose vectors have one length."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes):
+            own = batch.filter(pa.array(sizes == n))
+            for start in range(0, own.num_rows, BLOCK):
+                some = own.slice(start, BLOCK)
+                x = _matrix(some.column("v"))
+                yield some.column(name), int(n), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _past_slices(left: DataFrame, right: DataFrame, right_id: str, stream: Callable, schema: str) -> DataFrame:
+    """What `stream` makes of the left side's batches and of the right side's ids and unit vectors by length, which are broadcast in slices."""
     spark = left.sparkSession
-    left, right = (held(f.where(F.col("v").isNotNull() & (norm(F.col("v")) >= TINY)).select(i, F.col("v").cast("array<double>").alias("v"))) for f, i in ((left, left_id), (right, right_id)))
     rows, longest = right.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    schema = f"{left_id} {dict(left.dtypes)[left_id]}, {right_id} {dict(right.dtypes)[right_id]}, similarity double"
 
     def passing(part: DataFrame) -> tuple[DataFrame, Broadcast]:
-        """The pairs with one slice of the right side, which its caller has bounded."""
+        """The result of one slice of the right side, which its caller has bounded."""
         table = part.toArrow()
         by_length = {}
         sizes = pc.list_value_length(table.column("v")).to_numpy()
@@ -64,32 +146,15 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
             x = _matrix(own.column("v"))
             by_length[int(n)] = (own.column(right_id).combine_chunks(), x / np.linalg.norm(x, axis=1, keepdims=True))
         shared = spark.sparkContext.broadcast(by_length)
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
-                for n in set(sizes.tolist()) & shared.value.keys():
-                    own = batch.filter(pa.array(sizes == n))
-                    ids, unit = shared.value[n]
-                    for start in range(0, own.num_rows, BLOCK):
-                        some = own.slice(start, BLOCK)
-                        x = _matrix(some.column("v"))
-                        x /= np.linalg.norm(x, axis=1, keepdims=True)
-                        for at in range(0, len(ids), BLOCK):
-                            score = x @ unit[at : at + BLOCK].T
-                            i, j = np.nonzero(score >= threshold if below is None else (score > threshold) & (score < below))
-                            if len(i):
-                                yield pa.RecordBatch.from_arrays([some.column(left_id).take(pa.array(i)), ids.take(pa.array(j + at)), pa.array(score[i, j])], [left_id, right_id, "similarity"])
-
-        return left.mapInArrow(stream, schema), shared
+        return left.mapInArrow(lambda batches: stream(lambda n: shared.value.get(n), batches), schema), shared
 
     slices = max(1, -(-rows * longest * 8 // BROADCAST_BYTES))
     if slices == 1:
         return passing(right)[0]
     found = []
     for k in range(slices):
-        pairs, shared = passing(right.where(F.pmod(F.xxhash64(right_id), F.lit(slices)) == k))
-        found.append(held(pairs))
+        out, shared = passing(right.where(F.pmod(F.xxhash64(right_id), F.lit(slices)) == k))
+        found.append(held(out))
         shared.destroy()
     return functools.reduce(DataFrame.unionByName, found)
 

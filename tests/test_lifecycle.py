@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from graphloom.config import Config
 from graphloom.operators import lifecycle as lc
+from graphloom.operators.similarity import linking_forest
 from graphloom.schemas import OBSERVATIONS, STRUCTURAL
 from graphloom.sources.library import library_info, load_library, save_library
 
@@ -140,3 +141,28 @@ def test_one_file_for_a_person_to_read(spark, tmp_path, monkeypatch):
     (tmp_path / "text.json").write_text('{"format_version": "1.1", "note": "\\"nodes\\": []"}')
     with pytest.raises(ValueError):
         load_library(spark, str(tmp_path / "text.json"))
+
+
+def test_observing_nodes_that_are_all_alike_keeps_few_links(spark):
+    """A crowd of like vectors has links by the square of its size; what is written to find its group is no more than a few for each node and task."""
+    rnd = np.random.default_rng(6)
+    vectors = np.vstack([rnd.normal(size=(600, 6)) * 0.3 + np.eye(6)[0], rnd.normal(size=(30, 6)) * 0.01 - np.eye(6)[0], rnd.normal(size=(3, 6)) * 0.01 - np.eye(6)[1] * 5])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"n{i}", x.tolist()) for i, x in enumerate(vectors)], "a string, v array<double>").repartition(3)
+    for block, cap in ((1024, 64_000_000), (50, 64_000_000), (50, 6 * 8 * 200)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("graphloom.operators.similarity.BROADCAST_BYTES", cap)
+            m.setattr("graphloom.operators.similarity.BLOCK", block)
+            forest = linking_forest(rows, rows.withColumnRenamed("a", "b"), 0.49).collect()
+        assert len(forest) < 10 * len(vectors)  # all links: over 100,000
+        assert groups((r.a, r.b) for r in forest) == groups((f"n{i}", f"n{j}") for i, j in zip(*np.nonzero(unit @ unit.T >= 0.49), strict=True) if i != j)
+
+
+def groups(links):
+    at = {}
+    for a, b in links:
+        a, b = (at.setdefault(x, {x}) for x in (a, b))
+        if a is not b:
+            a |= b
+            at |= dict.fromkeys(b, a)
+    return sorted(sorted(x) for x in {id(x): x for x in at.values()}.values())
