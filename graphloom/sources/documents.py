@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -23,6 +24,7 @@ EXTENSIONS = (*TEXT_EXTENSIONS, "md", "html", "htm", "docx", "pdf", "ics")
 # HTML elements whose text does not count, and those that never have an end tag.
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_REFERENCE = re.compile(r"&(?:(#[0-9]+;|#[xX][0-9a-fA-F]+;)|([0-9A-Za-z]+;))?")
 _MARKDOWN = re.compile(r"^(#{1,4})\s+(.+)")
 #: Blocks are headings from this multiple of the body's font size on, of the first level from the second.
 HEADING_SIZE, TOP_SIZE, LEAST_BLOCK = 1.15, 1.3, 20
@@ -73,9 +75,14 @@ class _Page(HTMLParser):
             self.seen.append(["title" if self.inside == "title" else "text", 0, [words]])
 
 
-def parse_html(text: str) -> dict | None:
+def _closed_reference(m: re.Match) -> str:
+    return m[0] if m[1] or m[2] in html5 else "&amp;" + m[0][1:]
+
+
+def parse_html(text: str, closed: bool = False) -> dict | None:
+    """closed: only character references that end with a semicolon are resolved; browsers also resolve some without, as `&amp` before a tag."""
     page = _Page()
-    page.feed(text)
+    page.feed(_REFERENCE.sub(_closed_reference, text) if closed else text)
     page.close()
     title = "".join(w for kind, _, ws in page.seen if kind == "title" for w in ws)
     runs: list[tuple[str, int, list[str]]] = [("", 0, [])]
@@ -313,14 +320,14 @@ def sectionise_blocks(blocks: DataFrame) -> DataFrame:
     return out.where("body != ''")
 
 
-def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, title, headings, n_sections, body_chars) of pages, by the reader of HTML files."""
+def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html", closed: bool = False) -> DataFrame:
+    """(key, title, headings, n_sections, body_chars) of pages, by the reader of HTML files; `closed` as for parse_html."""
 
     @F.pandas_udf("title string, headings string, n_sections int, body_chars long")
     def facts(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            d = parse_html(t or "") or {"title": "", "sections": []}
+            d = parse_html(t or "", closed) or {"title": "", "sections": []}
             s = d["sections"]
             out.append((d["title"], "|".join(x["heading"] for x in s), len(s), sum(len(x["body"]) for x in s)))
         return pd.DataFrame(out, columns=["title", "headings", "n_sections", "body_chars"])

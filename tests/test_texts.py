@@ -90,6 +90,17 @@ def test_html():
     assert parse_html("") is None and parse_html("<nav>only menu")["sections"][0]["body"] == "only menu"
 
 
+def test_html_references_without_semicolon(spark, tmp_path):
+    """As the queries' SQL reads them: an escaped title that was cut off keeps what is left of its last reference. Files are read as browsers do."""
+    page = "<html><head><title>A &amp; B &amp</title></head><body><p>Pre &quot</p><h1>C &lt;x&gt; &#39;d&#39; &amp</h1><p>e &ampf &notit; &unknown; & g</p><h1>H&am</h1>i&copy;</body></html>"
+    d = parse_html(page, closed=True)
+    assert d["title"] == "A & B &amp"
+    assert [(s["heading"], s["body"]) for s in d["sections"]] == [("", "Pre &quot"), ("C <x> 'd' &amp", "e &ampf &notit; &unknown; & g"), ("H&am", "i\u00a9")]
+    assert parse_html(page)["title"] == "A & B &"
+    spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["html_sections"](spark, str(tmp_path)).where("page_id = 1").first().headings == "|C <x> 'd' &amp|H&am"
+
+
 def docx(parts, title="T"):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>' for style, text in parts)
