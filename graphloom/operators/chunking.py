@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import Config
-from graphloom.functions.texts import HEADING_CAPITALS, HEADING_MARKDOWN, HEADING_NUMBERED, SENTENCE_END, heading, strip
+from graphloom.functions.texts import HEADING_CAPITALS, HEADING_MARKDOWN, HEADING_NUMBERED, SENTENCE_END, heading, heading_as_written, strip
 from graphloom.schemas import CHUNKS
 
 _HEADINGS = [(re.compile(HEADING_MARKDOWN), 2), (re.compile(HEADING_NUMBERED), 2), (re.compile(HEADING_CAPITALS), 1)]
@@ -19,14 +19,14 @@ _SENTENCE_END = re.compile(SENTENCE_END)
 _BLANK_LINES = re.compile(r"\n{2,}")
 
 
-def sectionise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sectionise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_written: bool = False) -> DataFrame:
     """(doc_id, section_no, heading, char_start, body): texts cut at their heading lines, natively.
 
     A heading line numbers the lines up to the next one by a running sum; sections with an empty body fall away. char_start: the
-    offset of the heading line (for text before any heading, 0).
+    offset of the heading line (for text before any heading, 0). as_written: heading lines keep their numbers and are not stripped.
     """
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("h", heading(F.regexp_replace("line", r"\s+$", "")))
+    lines = lines.withColumn("h", heading_as_written(F.col("line")) if as_written else heading(F.regexp_replace("line", r"\s+$", "")))
     running = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("section_no", F.sum(F.col("h").isNotNull().cast("int")).over(running)).withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
